@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from displace.llm.language_model import score_texts
 from displace.llm.repeats import remove_repeats, spans_digest
 
 
@@ -17,8 +18,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_gru_lm": op6_gru_lm,
 }
 
 ORACLE: dict[str, str] = {}

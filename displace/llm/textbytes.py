@@ -148,3 +148,37 @@ def deal(bucket: np.ndarray, n_buckets: int, record: np.ndarray):
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     keep = [b for b in range(n_buckets) if cuts[b + 1] > cuts[b]]
     return keep, [record[cuts[b] : cuts[b + 1]].tobytes() for b in keep]
+
+
+def word_segments(data: np.ndarray, offsets: np.ndarray, limit: int = SEGMENT):
+    """Yield (first text, last text + 1, begin, end): whole texts up to `limit` bytes together; a longer text in parts that end
+    after white space, so that no word is cut."""
+    n, i = len(offsets) - 1, 0
+    while i < n:
+        if offsets[i + 1] - offsets[i] > limit:
+            at, stop = int(offsets[i]), int(offsets[i + 1])
+            while at < stop:
+                end = min(stop, at + limit)
+                if end < stop:
+                    spaces = np.flatnonzero(SPACE[data[at:end]])
+                    if len(spaces):
+                        end = at + int(spaces[-1]) + 1
+                    else:
+                        later = np.flatnonzero(SPACE[data[end:stop]])
+                        end = end + int(later[0]) + 1 if len(later) else stop
+                yield i, i + 1, at, end
+                at = end
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield i, j, int(offsets[i]), int(offsets[j])
+        i = j
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, limit: int = SEGMENT):
+    """Yield (owner text, 64-bit name, name of the last three bytes) of all words, segment by segment in order."""
+    for i, j, begin, end in word_segments(data, offsets, limit):
+        inner = np.clip(offsets[i : j + 1], begin, end) - begin
+        low, starts, ends, owner = words(data[begin:end], inner)
+        roll = Rolling(low, 0)
+        yield owner + i, roll.at(starts, ends), roll.at(np.maximum(starts, ends - 3), ends)
