@@ -150,14 +150,14 @@ def encode(texts: pa.Table, told: pa.Table, buckets: int, n_words: int, n_tails:
     return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=schema.names).cast(schema)
 
 
-def encode_corpus(docs: DataFrame, text: str, id_col: str, groups: int, n_words: int, n_tails: int, folds: int) -> DataFrame:
+def encode_corpus(docs: DataFrame, text: str, id_col: str, groups: int, buckets: int, n_words: int, n_tails: int, folds: int) -> DataFrame:
     from displace.llm.repeats import texts_type
 
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds == 0
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), held.alias("held_out"))
     own = own.withColumn("g", F.pmod(F.xxhash64("id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups)).cast("int"))
-    asked = own.groupBy("g").applyInArrow(lambda t: ask_counts(t, groups, n_tails), "b int, g int, data binary").groupBy("b")
+    asked = own.groupBy("g").applyInArrow(lambda t: ask_counts(t, buckets, n_tails), "b int, g int, data binary").groupBy("b")
     answers = asked.applyInArrow(answer_counts, "g int, b int, data binary")
     summary = asked.applyInArrow(lambda t: summarise(t, n_words), "h bigint, n bigint, v bigint, cls int")
     top = summary.where("h is not null").orderBy(F.col("h") != 0, F.desc("n"), "h").limit(n_words).withColumn("total", F.lit(False))
@@ -166,7 +166,7 @@ def encode_corpus(docs: DataFrame, text: str, id_col: str, groups: int, n_words:
     every = spark.range(groups).select(F.col("id").cast("int").alias("g"), F.lit(-1).alias("b"), vocabulary.scalar().alias("data"))
     schema = pa.schema([("id", texts_type(docs.schema[id_col].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("tail_score", pa.float64()), ("tokens", pa.binary())])
     kinds = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, tail_score double, tokens binary"
-    return own.groupBy("g").cogroup(answers.unionByName(every).groupBy("g")).applyInArrow(lambda a, b: encode(a, b, groups, n_words, n_tails, schema), kinds)
+    return own.groupBy("g").cogroup(answers.unionByName(every).groupBy("g")).applyInArrow(lambda a, b: encode(a, b, buckets, n_words, n_tails, schema), kinds)
 
 
 def _blob(rows: pa.Table) -> pa.Table:
@@ -241,7 +241,7 @@ def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n_w
     without training rows a score under uniform counts.
     """
     spark = docs.sparkSession
-    encoded = materialize(encode_corpus(docs, text, id_col, 3 * n_partitions(spark), n_words, n_tails, folds), "lm")
+    encoded = materialize(encode_corpus(docs, text, id_col, 2 * n_partitions(spark), n_partitions(spark), n_words, n_tails, folds), "lm")
     model = Gru(n_words, per_class, n_tails, hidden)
     counts = _token_counts(encoded.where("not held_out"), n_words + n_tails)
     model.start(counts[:n_words], counts[n_words:])

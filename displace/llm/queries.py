@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from displace.llm.language_model import score_texts
 from displace.llm.repeats import remove_repeats, spans_digest
+from displace.llm.simhash import simhash_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_simhash": op5_simhash,
     "op6_gru_lm": op6_gru_lm,
 }
 
