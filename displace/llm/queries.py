@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from displace.llm.language_model import score_texts
 from displace.llm.repeats import remove_repeats, spans_digest
 from displace.llm.simhash import simhash_components
+from displace.llm.warc import plan_revisits, read_warc, resolve_revisits, write_warc
+from displace.session import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(plan_revisits(_table(spark, sf_dir, "pages")), path)
+    return resolve_revisits(read_warc(spark, path))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -28,9 +36,20 @@ def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_gru_lm": op6_gru_lm,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM m
+    """,
+}
