@@ -285,7 +285,7 @@ def cut(texts: pa.Table, told: pa.Table, length: int, gram: int, passed: list[st
     return pa.table(dict(zip(schema.names, columns, strict=True))).cast(schema)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 200, gram: int = 64, groups: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 200, gram: int = 64, groups: int | None = None, buckets: int | None = None) -> DataFrame:
     """(id, n_bytes, spans, kept): each text's bytes without those covered by a `length`-byte string that also starts
     elsewhere in the corpus, same text included. spans lists the removed runs, kept holds the other bytes.
 
@@ -293,19 +293,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     is an empty one, a null id is passed on, other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    groups = groups or 3 * n_partitions(spark)
+    groups, buckets = groups or 2 * n_partitions(spark), buckets or n_partitions(spark)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     own = own.withColumn("g", F.pmod(F.xxhash64("id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups)).cast("int"))
     id_type = docs.schema[id_col].dataType
     schema = pa.schema([("id", texts_type(id_type)), *list(SPANS)[1:]])
-    dealt = f"b int, g int, data binary"
+    dealt = "b int, g int, data binary"
     told = "g int, b int, data binary"
 
     def ask1(t):
-        return ask_phrases(t, groups, length, gram)
+        return ask_phrases(t, buckets, length, gram)
 
     def ask2(a, b):
-        return ask_suffixes(a, b, groups, length, gram)
+        return ask_suffixes(a, b, buckets, length, gram)
 
     def last(a, b):
         return cut(a, b, length, gram, ["id"], schema)
