@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from displace.llm.decontaminate import contaminated_words, contamination_digest
+from displace.llm.imatch import imatch_report
 from displace.llm.language_model import score_texts
 from displace.llm.repeats import remove_repeats, spans_digest
 from displace.llm.secrets import BASE, MORE, find_secrets, secrets_digest
@@ -41,6 +42,10 @@ def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_gru_lm": op6_gru_lm,
+    "op8_imatch": op8_imatch,
     "op9_secrets": op9_secrets,
 }
 
