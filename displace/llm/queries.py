@@ -12,6 +12,7 @@ from displace.llm.language_model import score_texts
 from displace.llm.repeats import remove_repeats, spans_digest
 from displace.llm.secrets import BASE, MORE, find_secrets, secrets_digest
 from displace.llm.simhash import simhash_components
+from displace.llm.toxicity import score_toxicity
 from displace.llm.warc import plan_revisits, read_warc, resolve_revisits, write_warc
 from displace.session import fresh_path
 
@@ -42,6 +43,11 @@ def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch_report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
     "op6_gru_lm": op6_gru_lm,
+    "op7_toxicity": op7_toxicity,
     "op8_imatch": op8_imatch,
     "op9_secrets": op9_secrets,
 }
