@@ -20,14 +20,15 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(owner text, feature) of every word and of its first few bytes, segment by segment."""
+    """(owner text, feature) of every word and of its first (or, below zero, last) few bytes, segment by segment."""
     for i, j, begin, end in word_segments(data, offsets):
         inner = np.clip(offsets[i : j + 1], begin, end) - begin
         low, starts, ends, owner = words(data[begin:end], inner)
         roll = Rolling(low, 0)
         yield owner + i, bucket(roll.at(starts, ends))
         for n in prefixes:
-            yield owner + i, bucket(roll.at(starts, np.minimum(ends, starts + n)) ^ np.uint64((n << 61) & (2**64 - 1)))
+            part = roll.at(starts, np.minimum(ends, starts + n)) if n > 0 else roll.at(np.maximum(starts, ends + n), ends)
+            yield owner + i, bucket(part ^ np.uint64((n << 61) & (2**64 - 1)))
 
 
 def distinct_hits(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from displace.llm.decontaminate import contaminated_words, contamination_digest
 from displace.llm.imatch import imatch_report
 from displace.llm.language_model import score_texts
+from displace.llm.quality import score_quality
 from displace.llm.repeats import remove_repeats, spans_digest
 from displace.llm.secrets import BASE, MORE, find_secrets, secrets_digest
 from displace.llm.simhash import simhash_components
@@ -56,6 +57,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = score_quality(docs, _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "content_score", "metadata_score", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_suffix_dedup": op3_suffix_dedup,
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_imatch": op8_imatch,
     "op9_secrets": op9_secrets,
+    "op10_cotrain": op10_cotrain,
 }
 
 def _secrets_sql() -> str:
