@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from displace.llm.decontaminate import contaminated_words, contamination_digest
 from displace.llm.imatch import imatch_report
 from displace.llm.language_model import score_texts
+from displace.llm.pieces import Model, encode_texts, pieces_digest
 from displace.llm.quality import score_quality
 from displace.llm.repeats import remove_repeats, spans_digest
 from displace.llm.secrets import BASE, MORE, find_secrets, secrets_digest
@@ -18,6 +20,10 @@ from displace.llm.warc import plan_revisits, read_warc, resolve_revisits, write_
 from displace.session import fresh_path
 
 
+#: Where the model's file lies; a path on the driver.
+PIECES = os.environ.get("DISPLACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +34,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_revisits(read_warc(spark, path))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces_digest(encode_texts(docs, Model.load(PIECES), decoded="decoded"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -65,6 +76,7 @@ def op10_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_pieces": op2_pieces,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_simhash": op5_simhash,
