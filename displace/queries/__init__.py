@@ -1,3 +1,3 @@
 """All registered queries, by area."""
 
-from displace.queries import aggregates, filters, scalars  # noqa: F401
+from displace.queries import aggregates, filters, joins, scalars  # noqa: F401
