@@ -250,11 +250,11 @@ def group_hull(p: DataFrame) -> DataFrame:
 
 @query(
     "convex_clip",
-    "SELECT a.grp AS grp, b.grp AS other, round((least(a.cx + a.half, b.cx + b.half) - greatest(a.cx - a.half, b.cx - b.half)) * (least(a.cy + a.half, b.cy + b.half) - greatest(a.cy - a.half, b.cy - b.half)), 4) AS area FROM sites a JOIN sites b ON a.grp < b.grp AND abs(a.cx - b.cx) < a.half + b.half AND abs(a.cy - b.cy) < a.half + b.half",
+    "SELECT a.grp AS grp, b.grp AS other, round((least(a.cx + a.half, b.cx + b.half) - greatest(a.cx - a.half, b.cx - b.half)) * (least(a.cy + a.half, b.cy + b.half) - greatest(a.cy - a.half, b.cy - b.half)), 4) AS area FROM (SELECT grp, cx, cy, half * 5 AS half FROM sites) a JOIN (SELECT grp, cx, cy, half * 5 AS half FROM sites) b ON a.grp < b.grp AND abs(a.cx - b.cx) < a.half + b.half AND abs(a.cy - b.cy) < a.half + b.half",
     "sites",
 )
 def convex_clip(s: DataFrame) -> DataFrame:
-    a = _boxes(s).select("grp", "ring", "minx", "miny", "maxx", "maxy")
+    a = _boxes(s.withColumn("half", c("half") * 5)).select("grp", "ring", "minx", "miny", "maxx", "maxy")
     b = a.select(c("grp").alias("other"), c("ring").alias("oring"), c("minx").alias("bminx"), c("miny").alias("bminy"), c("maxx").alias("bmaxx"), c("maxy").alias("bmaxy"))
     met = ops.boxes_meet(a, b, 500.0).where("grp < other").withColumn("cut", geom.convex_clip("ring", "oring"))
     return met.select("grp", "other", r4(geom.area(c("cut")), "area")).where("area > 0")
