@@ -1,3 +1,3 @@
 """All registered queries, by area."""
 
-from displace.queries import aggregates, filters, joins, scalars, series  # noqa: F401
+from displace.queries import aggregates, filters, joins, raster, scalars, series, sites  # noqa: F401
