@@ -47,7 +47,7 @@ def surfaces(near: DataFrame, name: str, classes: list[str]) -> DataFrame:
     return own.groupBy("grp").agg(F.count_if(within).alias(f"{name}_count"), F.round(F.coalesce(F.sum(F.when(within, c("area"))), F.lit(0.0)), 4).alias(f"{name}_area"), F.bool_or(~within).alias(f"{name}_close"))
 
 
-def shares(near: DataFrame, sites: DataFrame, cls: Column, ignore: list[str] = (), rest: str | None = None) -> DataFrame:
+def shares(near: DataFrame, sites: DataFrame, cls: Column, ignore: list[str] = (), rest: str | None = None, decimals: int = 1) -> DataFrame:
     """(grp, cls, area, percent): area per class inside a site in percent of the site; rest names what no class covers (if it is over 1)."""
     hull = hulls(sites).select("grp", c("area").alias("site_area"))
     per = near.where(c("dist") == 0).groupBy("grp", cls.alias("cls")).agg(F.sum("area").alias("area"))
@@ -55,7 +55,7 @@ def shares(near: DataFrame, sites: DataFrame, cls: Column, ignore: list[str] = (
     if rest:
         left = hull.join(per.groupBy("grp").agg(F.sum("area").alias("used")), "grp", "left").select("grp", F.lit(rest).alias("cls"), (c("site_area") - F.coalesce("used", F.lit(0.0))).alias("area"))
         per = per.unionByName(left.where(F.abs("area") > 1))
-    return per.join(hull, "grp").select("grp", "cls", F.round("area", 1).alias("area"), F.round(100 * c("area") / c("site_area"), 2).alias("percent"))
+    return per.join(hull, "grp").select("grp", "cls", F.round("area", decimals).alias("area"), F.round(100 * c("area") / c("site_area"), 2).alias("percent"))
 
 
 def major(per: DataFrame) -> DataFrame:

@@ -42,15 +42,15 @@ query("site_water", f"{_IN} {_surface_sql('water', 'R')}", "sites", "features")(
 _SHARES = f"{_IN}, per AS (SELECT grp, fclass AS cls, sum(area) AS area FROM ins GROUP BY grp, fclass), rest AS (SELECT sites.grp, 'unclassified' AS cls, 4 * half * half - coalesce(u, 0) AS area FROM sites LEFT JOIN (SELECT grp, sum(area) AS u FROM per GROUP BY grp) USING (grp)), every AS (SELECT * FROM per UNION ALL SELECT * FROM rest WHERE abs(area) > 1)"
 
 
-@query("site_landuse", f"{_SHARES} SELECT grp, cls, round(every.area, 1) AS area, round(100 * every.area / (4 * half * half), 2) AS percent FROM every JOIN sites USING (grp)", "sites", "features")
+@query("site_landuse", f"{_SHARES} SELECT grp, cls, round(every.area, 3) AS area, round(100 * every.area / (4 * half * half), 2) AS percent FROM every JOIN sites USING (grp)", "sites", "features")
 def site_landuse(s: DataFrame, f: DataFrame) -> DataFrame:
-    return ops.shares(_near(s, f), _boxes(s), c("fclass"), rest="unclassified")
+    return ops.shares(_near(s, f), _boxes(s), c("fclass"), rest="unclassified", decimals=3)
 
 
-@query("site_geology", f"{_IN} SELECT grp, coalesce(CASE WHEN ref = 'F' THEN fclass END, 'rock-' || ref) AS unit, round(sum(area), 1) AS area, round(100 * sum(area) / min(4 * half * half), 2) AS percent FROM ins GROUP BY 1, 2", "sites", "features")
+@query("site_geology", f"{_IN} SELECT grp, coalesce(CASE WHEN ref = 'F' THEN fclass END, 'rock-' || ref) AS unit, round(sum(area), 3) AS area, round(100 * sum(area) / min(4 * half * half), 2) AS percent FROM ins GROUP BY 1, 2", "sites", "features")
 def site_geology(s: DataFrame, f: DataFrame) -> DataFrame:
     unit = F.coalesce(F.when(c("ref") == "F", c("fclass")), F.concat(F.lit("rock-"), c("ref")))
-    return ops.shares(_near(s, f), _boxes(s), unit).withColumnRenamed("cls", "unit")
+    return ops.shares(_near(s, f), _boxes(s), unit, decimals=3).withColumnRenamed("cls", "unit")
 
 
 @query("site_susceptibility", f"{_IN}, per AS (SELECT grp, fclass, round(100 * sum(area) / min(4 * half * half), 2) AS p, sum(area) AS a FROM ins WHERE fclass <> 'N' GROUP BY 1, 2) SELECT grp, arg_max(fclass, (round(a, 1), fclass)) AS major_class, round(sum(p), 2) AS total_percent, count(*) AS classes FROM per GROUP BY grp", "sites", "features")
