@@ -203,42 +203,101 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.sin(d) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(d))) + 360, F.lit(360.0))
 
 
-#: WGS84 / GRS80 ellipsoid, UTM scale; LAEA centre of the European grid.
-_A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
-_N = _F / (2 - _F)
-_RECT = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = [_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N**3, 61 / 240 * _N**3]
-_BETA = [_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, _N**2 / 48 + _N**3 / 15, 17 / 480 * _N**3]
-_DELTA = [2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3]
-
-
-def to_utm(lat: Column, lon: Column, meridian: float = 9.0) -> tuple[Column, Column]:
-    """Easting and northing (northern half) by the Kruger series; better than 1 mm inside a zone."""
+#: Ellipsoids (semi-major axis, flattening), projections (ellipsoid, scale, false easting, central meridian) and shifts to WGS84
+#: (metres, arc seconds, parts per million; position vector).
+WGS84, BESSEL, HAYFORD = (6378137.0, 1 / 298.257223563), (6377397.155, 1 / 299.1528128), (6378388.0, 1 / 297.0)
+UTM32, GK3, ED50_UTM32 = (WGS84, 0.9996, 500000.0, 9.0), (BESSEL, 1.0, 3500000.0, 9.0), (HAYFORD, 0.9996, 500000.0, 9.0)
+DHDN = (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)
+ED50 = (-87.0, -98.0, -121.0, 0.0, 0.0, 0.0, 0.0)
+_A, _F = WGS84
+
+
+def _series(f: float):
+    n = f / (2 - f)
+    alpha = [n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3, 13 / 48 * n**2 - 3 / 5 * n**3, 61 / 240 * n**3]
+    beta = [n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3]
+    delta = [2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3]
+    return n, alpha, beta, delta
+
+
+def to_mercator(lat: Column, lon: Column, system=UTM32) -> tuple[Column, Column]:
+    """Easting and northing (northern half) of a transverse Mercator system by the Kruger series; better than 1 mm inside a zone."""
+    (axis, f), k0, false_east, meridian = system
+    m, alpha, _, _ = _series(f)
+    rect = axis / (1 + m) * (1 + m**2 / 4 + m**4 / 64)
     p, d = F.radians(lat), F.radians(lon - meridian)
-    e = 2 * math.sqrt(_N) / (1 + _N)
+    e = 2 * math.sqrt(m) / (1 + m)
     t = F.sinh(F.atanh(F.sin(p)) - e * F.atanh(e * F.sin(p)))
     xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
     east, north = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + _K0 * _RECT * east, _K0 * _RECT * north
-
-
-def from_utm(east: Column, north: Column, meridian: float = 9.0) -> tuple[Column, Column]:
-    """Latitude and longitude of UTM coordinates (northern half)."""
-    xi, eta = north / (_K0 * _RECT), (east - 500000) / (_K0 * _RECT)
+    for j, k in enumerate(alpha, 1):
+        east = east + k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        north = north + k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return false_east + k0 * rect * east, k0 * rect * north
+
+
+def from_mercator(east: Column, north: Column, system=UTM32) -> tuple[Column, Column]:
+    """Latitude and longitude of a transverse Mercator system's coordinates (northern half)."""
+    (axis, f), k0, false_east, meridian = system
+    m, _, beta, delta = _series(f)
+    rect = axis / (1 + m) * (1 + m**2 / 4 + m**4 / 64)
+    xi, eta = north / (k0 * rect), (east - false_east) / (k0 * rect)
     x2, e2 = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        x2 = x2 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        e2 = e2 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    for j, k in enumerate(beta, 1):
+        x2 = x2 - k * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        e2 = e2 - k * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
     chi = F.asin(F.sin(x2) / F.cosh(e2))
     phi = chi
-    for j, dl in enumerate(_DELTA, 1):
-        phi = phi + dl * F.sin(2 * j * chi)
+    for j, k in enumerate(delta, 1):
+        phi = phi + k * F.sin(2 * j * chi)
     return F.degrees(phi), meridian + F.degrees(F.atan2(F.sinh(e2), F.cos(x2)))
 
 
+def to_utm(lat: Column, lon: Column) -> tuple[Column, Column]:
+    return to_mercator(lat, lon, UTM32)
+
+
+def from_utm(east: Column, north: Column) -> tuple[Column, Column]:
+    return from_mercator(east, north, UTM32)
+
+
+def shift_datum(lat: Column, lon: Column, shift, source, target=WGS84, inverse: bool = False) -> tuple[Column, Column]:
+    """Latitude and longitude on another ellipsoid by a seven-parameter shift at height 0 (Germany: a few metres, as the parameters are)."""
+    dx, dy, dz, rx, ry, rz, ppm = (-v if inverse else v for v in shift)
+    rx, ry, rz = (math.radians(v / 3600) for v in (rx, ry, rz))
+    axis, f = source
+    e2 = f * (2 - f)
+    p, lam = F.radians(lat), F.radians(lon)
+    n = axis / F.sqrt(1 - e2 * F.sin(p) * F.sin(p))
+    x, y, z = n * F.cos(p) * F.cos(lam), n * F.cos(p) * F.sin(lam), n * (1 - e2) * F.sin(p)
+    k = 1 + ppm * 1e-6
+    x, y, z = dx + k * (x - rz * y + ry * z), dy + k * (rz * x + y - rx * z), dz + k * (-ry * x + rx * y + z)
+    axis, f = target
+    e2, b = f * (2 - f), axis * (1 - f)
+    r = F.sqrt(x * x + y * y)
+    theta = F.atan2(z * axis, r * b)
+    s, q = F.sin(theta), F.cos(theta)
+    return F.degrees(F.atan2(z + e2 / (1 - e2) * b * s * s * s, r - e2 * axis * q * q * q)), F.degrees(F.atan2(y, x))
+
+
+#: Coordinate systems by EPSG number: a projection (None: latitude and longitude in degrees) and a shift with its ellipsoid.
+SYSTEMS = {4326: (None, None, WGS84), 32632: (UTM32, None, WGS84), 25832: (UTM32, None, WGS84), 31467: (GK3, DHDN, BESSEL), 23032: (ED50_UTM32, ED50, HAYFORD)}
+
+
+def reproject(df: DataFrame, x: str, y: str, source: int, target: int, out: tuple[str, str]) -> DataFrame:
+    """df with coordinates of another system. For 4326, x is the latitude and y the longitude. One projection per step, so that no step's
+    expression is repeated inside the next one's."""
+    (p1, s1, e1), (p2, s2, e2) = SYSTEMS[source], SYSTEMS[target]
+    lat, lon = from_mercator(c(x), c(y), p1) if p1 else (c(x), c(y))
+    steps = df.withColumns({"_lat": lat, "_lon": lon})
+    for shift, a, b, inverse in ((s1, e1, WGS84, False), (s2, WGS84, e2, True)):
+        if shift:
+            lat, lon = shift_datum(c("_lat"), c("_lon"), shift, a, b, inverse)
+            steps = steps.withColumns({"_lat": lat, "_lon": lon})
+    lat, lon = to_mercator(c("_lat"), c("_lon"), p2) if p2 else (c("_lat"), c("_lon"))
+    return steps.withColumns({out[0]: lat, out[1]: lon}).drop("_lat", "_lon")
+
+
 def to_laea(lat: Column, lon: Column, lat0: float = 52.0, lon0: float = 10.0) -> tuple[Column, Column]:
     """Lambert azimuthal equal-area coordinates of the European grid (false origin 4321000, 3210000)."""
     e2 = _F * (2 - _F)

@@ -290,7 +290,8 @@ def reproject(p: DataFrame) -> DataFrame:
     u = ll.withColumns({"east": e, "north": n})
     la, lo = geom.from_utm(c("east"), c("north"))
     ex, ny = geom.to_laea(c("lat"), c("lon"))
-    return u.select("ps_id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(ex, 3).alias("laea_x"), F.round(ny, 3).alias("laea_y"), F.round((la - c("lat")) * 1e9, 0).alias("lat_error"), F.round((lo - c("lon")) * 1e9, 0).alias("lon_error"))
+    u = geom.reproject(geom.reproject(u, "lat", "lon", 4326, 31467, ("gk_x", "gk_y")), "lat", "lon", 4326, 23032, ("ed50_x", "ed50_y"))
+    return u.select("ps_id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(ex, 3).alias("laea_x"), F.round(ny, 3).alias("laea_y"), F.round((la - c("lat")) * 1e9, 0).alias("lat_error"), F.round((lo - c("lon")) * 1e9, 0).alias("lon_error"), *[F.round(k, 2).alias(k) for k in ("gk_x", "gk_y", "ed50_x", "ed50_y")])
 
 
 @query(

@@ -105,6 +105,17 @@ def test_utm_round_trip(spark):
     assert abs(r.x - 4321000) < 1e-6 and abs(r.y - 3210000) < 1e-6
 
 
+def test_datum_shifts(spark):
+    d = spark.createDataFrame([(50.0, 8.5), (51.6, 10.2), (49.4, 7.8)], "lat double, lon double")
+    for system in (31467, 23032, 32632):
+        there = geom.reproject(d, "lat", "lon", 4326, system, ("e", "n"))
+        for r in geom.reproject(there, "e", "n", system, 4326, ("la", "lo")).collect():
+            # the inverse shift only negates the parameters, and heights are left at 0: some centimetres
+            assert abs(r.lat - r.la) < 2e-6 and abs(r.lon - r.lo) < 2e-6
+    r = geom.reproject(spark.createDataFrame([(50.0, 9.0)], "lat double, lon double"), "lat", "lon", 4326, 31467, ("e", "n")).first()
+    assert 50 < abs(r.e - 3500000) < 150 and 5.53e6 < r.n < 5.55e6
+
+
 def test_components_do_not_depend_on_order(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
