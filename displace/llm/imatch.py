@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from displace.llm.decontaminate import in_slots, slot_table
+from displace.session import materialize
 
 #: Rates of the subsets: the r-th keeps a term with probability 2**-r.
 RATES = (2, 4, 6, 8)
@@ -90,13 +91,16 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id", width: int = 4096) -> Data
 
 
 def with_next(own: DataFrame, following: DataFrame) -> DataFrame:
-    """own (id, text, fingerprint) with the next document's beginning, as much as half of the text, and fingerprint. Texts are
-    dealt by id once: askers' needs go to the next document and bring back only what is needed."""
+    """own (id, text, fingerprint) with the next document's beginning, as much as half of the text, and fingerprint. Texts are dealt by
+    id once, for both joins (so both see the same rows: those with an id): askers' needs go to the next document and bring back only what is
+    needed."""
     half = lambda: F.floor(F.length("text") / 2).cast("int")
+    nameless = own.where("id is null").withColumn("given", F.lit(None).cast("struct<text:string,fingerprint:string>"))
+    own = own.where("id is not null")
     asks = own.select("id", half().alias("half")).groupBy("id").agg(F.max("half").alias("half")).join(following, "id").select(F.col("next").alias("id"), F.col("id").alias("asker"), "half")
     given = own.join(asks, "id").select("asker", F.struct(F.substring("text", F.lit(1), F.col("half")).alias("text"), "fingerprint").alias("given"))
     given = given.groupBy(F.col("asker").alias("id")).agg(F.min("given").alias("given"))
-    joined = own.join(given, "id", "left")
+    joined = own.join(given, "id", "left").unionByName(nameless)
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - half()), F.substring(F.coalesce("given.text", F.lit("")), F.lit(1), half()))
     return joined.select("id", "text", "fingerprint", edited.alias("edited"), F.col("given.fingerprint").alias("next_fingerprint"))
@@ -109,7 +113,7 @@ def imatch_report(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
     Null texts are empty, equal texts have equal fingerprints; of rows with equal ids the smallest text stands for the next document;
     null ids have no next document (an empty one). Empty tables give no rows; other columns are ignored.
     """
-    slots = slot_table(lexicon(docs, text, low, high))
+    slots = slot_table(materialize(lexicon(docs, text, low, high), "lexicon"))  # counted once, used by every fingerprint
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = with_next(fingerprint(own, "text", slots, "fingerprint"), next_ids(docs, id_col))
     both = fingerprint(texts, "edited", slots, "edited_fingerprint")
