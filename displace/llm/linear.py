@@ -92,8 +92,8 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], n_features: int):
         self.n, self.m = len(rows), n_features
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.col = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], minlength=self.n)

@@ -145,13 +145,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col
         for batch in batches:
             owner, f, meta = views(batch, 0, 1)
             rows = np.split(f, np.searchsorted(owner, np.arange(1, batch.num_rows))) if batch.num_rows else []
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r.tolist() for r in rows], kind), pa.array([r.tolist() for r in meta], kind), batch.column(2)], names=["f", "m", "label"])
+            packed = lambda own: pa.array([r.astype("<i4").tobytes() for r in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed(rows), packed(meta), batch.column(2)], names=["f", "m", "label"])
 
-    got = own.mapInArrow(gather, "f array<bigint>, m array<bigint>, label int").collect()  # the bounded sample's features
+    got = own.mapInArrow(gather, "f binary, m binary, label int").collect()  # the bounded sample's features
     seen, rest = [r for r in got if r.label >= 0], [r for r in got if r.label < 0]
-    content = lambda rows: Sparse([np.array(r.f, np.int64) for r in rows], max(len(chosen), 1))
-    meta = lambda rows: Sparse([np.array(r.m, np.int64) for r in rows], n_meta)
+    content = lambda rows: Sparse([np.frombuffer(r.f, "<i4") for r in rows], max(len(chosen), 1))
+    meta = lambda rows: Sparse([np.frombuffer(r.m, "<i4") for r in rows], n_meta)
     y = np.array([r.label for r in seen], float)
     models, curves = [(np.zeros(max(len(chosen), 1)), 0.0), (np.zeros(n_meta), 0.0)], [(1.0, 0.0)] * 2
     if len(y):
