@@ -49,6 +49,13 @@ def normal_sums(df: DataFrame, by: list[str], design: list[tuple[str, Column]],
     return g.select(*by, "n", F.array(*[c(f"_s{i}_{j}") for i in range(p) for j in range(i + 1)], *[c(f"_r{i}") for i in range(p)]).alias("sums"))
 
 
+def merge_sums(sums: DataFrame, by: list[str], p: int) -> DataFrame:
+    """Sums of several groups as those of one: they are additive, so a series that belongs to many groups is read once."""
+    k = p * (p + 1) // 2 + p
+    g = sums.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c("sums")[i]).alias(f"_s{i}") for i in range(k)])
+    return g.select(*by, "n", F.array(*[c(f"_s{i}") for i in range(k)]).alias("sums"))
+
+
 def solve(sums: DataFrame, by: list[str], p: int) -> DataFrame:
     """(by, n, coeffs, full_rank): least squares from the sums; of minimum norm, and flagged, where they are singular."""
     low = np.tril_indices(p)

@@ -130,6 +130,18 @@ def event_series(s: DataFrame, p: DataFrame, o: DataFrame) -> DataFrame:
     return _coefficients(ops.invert(_weeks(s).join(near, "ps_id"), ["id"], "w", "value", **_FLAT).where("n >= 2"), ["id"], 2)
 
 
+@query("event_series_all", None, "psi_series", "psi_points", "catalogue")
+def event_series_all(s: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
+    """event_series of every event of the reference's magnitude cut. A point's sums are made once and added up for the events near it."""
+    design = ops.terms(c("w"), **_FLAT)
+    own = ops.normal_sums(_weeks(s), ["ps_id"], design, "value").join(p.select("ps_id", "x", "y"), "ps_id")
+    k = c("id")
+    quakes = e.where("magnitude >= 2.5").select("id", ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy"))
+    near = joins.radius_join(own, quakes, 1000.0, salt=4).select("id", "n", "sums")
+    fits = ops.solve(ops.merge_sums(near, ["id"], len(design)), ["id"], len(design))
+    return _coefficients(fits.where("n >= 2"), ["id"], 2)
+
+
 @query("stacked_fit", f"SELECT direction, count(*) AS n, round(regr_intercept(value, w), 4) AS m0, round(regr_slope(value, w), 4) AS m1 FROM (SELECT direction, value, {_WEEKS} AS w FROM psi_series) GROUP BY direction", "psi_series")
 def stacked_fit(s: DataFrame) -> DataFrame:
     return _coefficients(ops.invert(_weeks(s), ["direction"], "w", "value", **_FLAT), ["direction"], 2)
@@ -206,10 +218,22 @@ def wavelet_power(s: DataFrame) -> DataFrame:
     "psi_series",
 )
 def well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
-    wells = sites.where("grp % 5 = 0").select("grp", "cx", "cy")
-    near = joins.radius_join(p.select("ps_id", "x", "y"), wells, 2000.0).select("grp", "ps_id")
+    return _well_correlation(sites.where("grp % 5 = 0"), p, s)
+
+
+@query("well_correlation_all", None, "sites", "psi_points", "psi_series")
+def well_correlation_all(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
+    """well_correlation of every site."""
+    return _well_correlation(sites, p, s, salt=4)
+
+
+def _well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame, salt: int = 1) -> DataFrame:
+    wells = sites.select("grp", "cx", "cy")
+    view = s.where("direction = 'view'")
+    seen = p.select("ps_id", "x", "y").join(view.select("ps_id"), "ps_id", "left_semi")
+    near = joins.radius_join(seen, wells, 2000.0, salt=salt).select("grp", "ps_id")
     day = F.to_date("ts").alias("d")
-    psi = s.where("direction = 'view'").join(near, "ps_id").groupBy("grp", day).agg(F.median("value").alias("v"))
+    psi = view.join(near, "ps_id").groupBy("grp", day).agg(F.median("value").alias("v"))
     level = s.where("direction = 'click'").groupBy(day).agg(F.avg("value").alias("w"))
     got = ops.spearman(psi.join(level, "d"), ["grp"], "v", "w").where("n > 5")
     return got.select("grp", "n", r4(c("pearson"), "pearson"), r4(c("spearman"), "spearman"))
