@@ -117,14 +117,17 @@ def named(fits: DataFrame, by: list[str], t: Column | None = None, **model) -> D
     return rows.select(*by, F.element_at(F.array(*map(F.lit, names)), c("_i") + 1).alias("term"), "value")
 
 
-def cross_correlation(df: DataFrame, by: list[str], i: str, a: str, b: str, most: int) -> DataFrame:
-    """(by, lag, r) for |lag| <= most: sums of a[i] * b[i - lag] over deviations from the means, over the largest of them."""
-    mean = df.groupBy(*by).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"))
-    own = df.join(mean, by).select(*by, c(i).alias("_i"), (c(a) - c("_ma")).alias("_a"), (c(b) - c("_mb")).alias("_b"))
-    left = own.select(*by, "_i", "_a", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")).withColumn("_k", c("_i") - c("lag"))
+def cross_correlation(df: DataFrame, by: list[str], i: str, a: str, b: str, most: int | None = None, shown: int | None = None) -> DataFrame:
+    """(by, lag, r): sums of a[i] * b[i - lag] over deviations from the means, over the largest of them. Every lag of a group's own span is
+    looked at, or only |lag| <= most; `shown` leaves out further lags after they have been divided."""
+    mean = df.groupBy(*by).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.min(i).alias("_lo"), F.max(i).alias("_hi"))
+    own = df.join(mean, by).select(*by, c(i).alias("_i"), (c(a) - c("_ma")).alias("_a"), (c(b) - c("_mb")).alias("_b"), "_lo", "_hi")
+    lags = F.sequence(c("_i") - c("_hi"), c("_i") - c("_lo")) if most is None else F.sequence(F.lit(-most), F.lit(most))
+    left = own.select(*by, "_i", "_a", F.explode(lags).alias("lag")).withColumns({"_k": c("_i") - c("lag"), "lag": c("lag").cast("int")})
     right = own.select(*by, c("_i").alias("_k"), "_b")
     g = left.join(right, [*by, "_k"]).groupBy(*by, "lag").agg(F.sum(c("_a") * c("_b")).alias("_s"))
-    return g.withColumn("r", c("_s") / F.max("_s").over(Window.partitionBy(*by))).drop("_s")
+    r = g.withColumn("r", c("_s") / F.max("_s").over(Window.partitionBy(*by))).drop("_s")
+    return r if shown is None else r.where(F.abs("lag") <= shown)
 
 
 def wavelet_power(df: DataFrame, by: list[str], i: str, v: str, dj: float, scales: int, first: float = 2.0, omega: float = 6.0) -> DataFrame:

@@ -194,6 +194,13 @@ def cross_correlation(s: DataFrame) -> DataFrame:
     return got.select("lag", r4(c("r"), "r"), (c("r") == 1.0).alias("best"))
 
 
+@query("cross_correlation_full", None, "psi_series")
+def cross_correlation_full(s: DataFrame) -> DataFrame:
+    """cross_correlation over every lag of the series."""
+    got = ops.cross_correlation(_daily(s).withColumn("k", F.lit(0)), ["k"], "i", "a", "b")
+    return got.select("lag", r4(c("r"), "r"), (c("r") == 1.0).alias("best"))
+
+
 @query(
     "wavelet_power",
     _DAILY

@@ -10,6 +10,7 @@ import pytest
 
 import displace.queries  # noqa: F401
 from displace import registry
+from displace.operators import series
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +56,27 @@ def test_well_correlation_has_every_site(spark, tables):
     got = {r.grp: (r.n, r.pearson, r.spearman) for r in registry.QUERIES["well_correlation_all"](spark, SF).collect()}
     assert any(k % 5 for k in want) and set(got) == set(want)
     assert all(got[k][0] == x[0] and all(math.isclose(a, b, abs_tol=1e-4) for a, b in zip(got[k][1:], x[1:], strict=True)) for k, x in want.items())
+
+
+def _daily(tables):
+    s = tables["psi_series"]
+    i = (s["ts"].dt.normalize() - np.datetime64("2024-01-01")).dt.days
+    return [s[s["direction"] == k].groupby(i)["value"].mean().reindex(range(i.max() + 1)) for k in ("click", "view")]
+
+
+def test_cross_correlation_has_every_lag(spark, tables):
+    a, b = (x - x.mean() for x in _daily(tables))
+    want = np.correlate(a.fillna(0), b.fillna(0), "full")
+    got = {r.lag: (r.r, r.best) for r in registry.QUERIES["cross_correlation_full"](spark, SF).collect()}
+    n = len(a)
+    assert set(got) == set(range(1 - n, n))
+    assert all(abs((got[k - n + 1][0] or 0.0) - x) < 1e-4 for k, x in enumerate(want / want.max()))
+    assert [k for k, (_, best) in got.items() if best] == [int(want.argmax()) - n + 1]
+
+
+def test_cross_correlation_finds_a_far_lag(spark):
+    df = spark.createDataFrame([(0, i, float(i == 70), float(i == 5)) for i in range(100)], "k int, i long, a double, b double")
+    far = series.cross_correlation(df, ["k"], "i", "a", "b")
+    assert far.count() == 199 and far.where("r = 1").first().lag == 65
+    near = series.cross_correlation(df, ["k"], "i", "a", "b", shown=10)
+    assert near.count() == 21 and near.where("r = 1").count() == 0
