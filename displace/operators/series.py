@@ -131,8 +131,9 @@ def cross_correlation(df: DataFrame, by: list[str], i: str, a: str, b: str, most
 
 
 def wavelet_power(df: DataFrame, by: list[str], i: str, v: str, dj: float, scales: int, first: float = 2.0, omega: float = 6.0) -> DataFrame:
-    """(by, i, scale, power): Morlet power over the scale of a detrended, normalised series on whole steps; a scale's wavelet is cut at
-    four times the scale. (i, i') pairs meet by blocks of that width, so each sample meets only its neighbours."""
+    """(by, i, scale, power, freq, coi): Morlet power over the scale of a detrended, normalised series on whole steps; a scale's wavelet is cut at
+    four times the scale. (i, i') pairs meet by blocks of that width, so each sample meets only its neighbours. freq is the scale's frequency;
+    coi the frequency below which a sample is nearer to an end of its series than the wavelet's e-folding time, at most the largest freq."""
     fit = linear_fit(df.withColumn("_t", c(i).cast("double")), by, "_t", v)
     flat = df.join(fit, by).select(*by, c(i).cast("long").alias("_i"), ((c(v) - c("intercept") - c("slope") * c(i)) / F.sqrt(F.when(c("residual_var") > 0, c("residual_var")))).alias("_y"))
     values = [first * 2 ** (dj * k) for k in range(scales)]
@@ -145,7 +146,11 @@ def wavelet_power(df: DataFrame, by: list[str], i: str, v: str, dj: float, scale
     g = a.join(b, [*by, "scale", "_block"]).where(F.abs(c("_i") - c("i")) <= c("_w")).groupBy(*by, "i", "scale").agg(F.sum(part * F.cos(omega * x)).alias("_re"), F.sum(part * F.sin(omega * x)).alias("_im"))
     norm = math.pi**-0.25
     power = (c("_re") * c("_re") + c("_im") * c("_im")) * norm * norm / c("scale")
-    return g.select(*by, "i", "scale", (power / c("scale")).alias("power"))
+    period = 4 * math.pi / (omega + math.sqrt(2 + omega * omega))
+    ends = flat.groupBy(*by).agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
+    edge = F.least(c("i") - c("_lo"), c("_hi") - c("i")) + 0.5
+    coi = F.least(math.sqrt(2) / (period * edge), F.lit(1 / (period * first)))
+    return g.join(ends, by).select(*by, "i", "scale", (power / c("scale")).alias("power"), (1 / (period * c("scale"))).alias("freq"), coi.alias("coi"))
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:

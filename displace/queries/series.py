@@ -214,6 +214,13 @@ def wavelet_power(s: DataFrame) -> DataFrame:
     return got.select("i", r4(c("scale"), "scale"), r4(c("power"), "power"))
 
 
+@query("wavelet_power_full", None, "psi_series")
+def wavelet_power_full(s: DataFrame) -> DataFrame:
+    """wavelet_power at the reference's scales, seven octaves from 8 samples in twelfths, with the cone of influence."""
+    got = ops.wavelet_power(_daily(s).withColumn("k", F.lit(0)), ["k"], "i", "a", 1 / 12, 85, 8.0)
+    return got.select("i", *[r4(c(k), k) for k in ("scale", "power", "freq", "coi")])
+
+
 @query(
     "well_correlation",
     """WITH w AS (SELECT grp, cx, cy FROM sites WHERE grp % 5 = 0), n AS (SELECT grp, ps_id FROM w JOIN psi_points ON (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 4000000),

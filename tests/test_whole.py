@@ -80,3 +80,24 @@ def test_cross_correlation_finds_a_far_lag(spark):
     assert far.count() == 199 and far.where("r = 1").first().lag == 65
     near = series.cross_correlation(df, ["k"], "i", "a", "b", shown=10)
     assert near.count() == 21 and near.where("r = 1").count() == 0
+
+
+def test_wavelet_power_has_the_reference_scales_and_cone(spark, tables):
+    y = _daily(tables)[0].to_numpy(float)
+    i = np.arange(len(y))
+    ok = np.isfinite(y)
+    d = y - np.polyval(np.polyfit(i[ok], y[ok], 1), i)
+    d = np.where(ok, d / d[ok].std(), 0.0)
+    rows = registry.QUERIES["wavelet_power_full"](spark, SF).collect()
+    scales = 8 * 2 ** (np.arange(85) / 12)
+    got = {(r.i, round(12 * math.log2(r.scale / 8))): r for r in rows}
+    days = set(tables["psi_series"]["ts"].dt.normalize())
+    assert len(got) == len(rows) == len(days) * 85
+    flambda = 4 * math.pi / (6 + math.sqrt(38))
+    n = len(y)
+    for (t, k), r in got.items():
+        x = (i - t) / scales[k]
+        w = (d * np.exp(-x * x / 2 + 6j * x)).sum()
+        cone = 1 / (flambda / math.sqrt(2) * (n / 2 - abs(t - (n - 1) / 2)))
+        assert abs(r.scale - scales[k]) < 1e-4 and abs(r.power - abs(w) ** 2 / math.sqrt(math.pi) / scales[k] ** 2) < 1e-3
+        assert abs(r.freq - 1 / (flambda * scales[k])) < 1e-4 and abs(r.coi - min(cone, 1 / (flambda * 8))) < 1e-4
