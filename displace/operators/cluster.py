@@ -56,32 +56,41 @@ def merge_levels(boxes: DataFrame, grp: str, level: str, key: str, size: float,
     return count.join(area, "merged")
 
 
-def adaptive_split(points: DataFrame, x: str, y: str, most: int, overlap: float = 0.0, rounds: int = 30) -> DataFrame:
-    """Regions (rid, minx, miny, maxx, maxy, n) of at most `most` points: the longer side is halved, with an overlap, until it fits. Regions are a small
-    table; points carry their regions along and are counted once per round."""
-    b = points.agg(F.min(x).alias("minx"), F.min(y).alias("miny"), F.max(x).alias("maxx"), F.max(y).alias("maxy"))
-    regions = b.where("minx is not null").select(F.lit("0").alias("rid"), "minx", "miny", "maxx", "maxy")
-    done = None
-    for _ in range(rounds):
-        inside = c(x).between(c("minx"), c("maxx")) & c(y).between(c("miny"), c("maxy"))
-        counted = materialize(points.select(x, y).join(F.broadcast(regions), inside).groupBy("rid", "minx", "miny", "maxx", "maxy").agg(F.count("*").alias("n")), "split")  # a region per `most` points at least
-        fits = (c("n") <= most) | (F.greatest(c("maxx") - c("minx"), c("maxy") - c("miny")) <= 4 * overlap + 1e-9)
-        done = counted.where(fits) if done is None else done.unionByName(counted.where(fits))
-        big = counted.where(~fits)
+def adaptive_split(points: DataFrame, x: str, y: str, most: int, overlap: float = 0.0, rounds: int | None = None) -> DataFrame:
+    """Regions (rid, minx, miny, maxx, maxy, n, over) of at most `most` points: the longer side is halved, with an overlap, until it fits. Points
+    carry their region along: a round counts by region and keeps, by an equi-join, the points of those that are halved. What cannot be halved
+    (points on one spot, a side of four overlaps or of the last bit), or is left after `rounds`, stays in the result with over = true."""
+    box = ["rid", "minx", "miny", "maxx", "maxy"]
+    own = points.select(c(x).alias("_x"), c(y).alias("_y")).where("_x is not null and _y is not null")
+    b = own.agg(F.min("_x").alias("minx"), F.min("_y").alias("miny"), F.max("_x").alias("maxx"), F.max("_y").alias("maxy"))
+    left = own.crossJoin(F.broadcast(b)).withColumn("rid", F.lit("0"))  # one row of bounds
+    wide = (c("maxx") - c("minx")) >= (c("maxy") - c("miny"))
+    mx, my = (c("minx") + c("maxx")) / 2, (c("miny") + c("maxy")) / 2
+    low, mid, high = F.when(wide, c("minx")).otherwise(c("miny")), F.when(wide, mx).otherwise(my), F.when(wide, c("maxx")).otherwise(c("maxy"))
+    spot = (c("_lx") == c("_hx")) & (c("_ly") == c("_hy"))
+    whole = spot | (high - low <= 4 * overlap + 1e-9) | (mid <= low) | (mid >= high)
+    done, k = None, 0
+    while True:
+        spans = [F.min("_x").alias("_lx"), F.max("_x").alias("_hx"), F.min("_y").alias("_ly"), F.max("_y").alias("_hy")]
+        counted = materialize(left.groupBy(*box).agg(F.count("*").alias("n"), *spans).select(*box, "n", (c("n") > most).alias("over"), whole.alias("_whole")), "split")
+        k += 1
+        ends = ~c("over") | c("_whole") if rounds is None or k < rounds else F.lit(True)
+        fits = counted.where(ends).drop("_whole")
+        done = fits if done is None else done.unionByName(fits)
+        big = counted.where(~ends).select("rid")
         if big.limit(1).count() == 0:
-            break
-        wide = (c("maxx") - c("minx")) >= (c("maxy") - c("miny"))
-        mx, my = (c("minx") + c("maxx")) / 2, (c("miny") + c("maxy")) / 2
-        half = F.explode(F.array(F.lit(0), F.lit(1)))
-        cut = big.select("*", half.alias("h"))
-        regions = cut.select(
+            return done
+        cut = left.join(big, "rid", "left_semi").withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
+        halves = cut.select(
+            "_x",
+            "_y",
             F.concat("rid", c("h").cast("string")).alias("rid"),
             F.when(wide & (c("h") == 1), mx - overlap).otherwise(c("minx")).alias("minx"),
             F.when(~wide & (c("h") == 1), my - overlap).otherwise(c("miny")).alias("miny"),
             F.when(wide & (c("h") == 0), mx + overlap).otherwise(c("maxx")).alias("maxx"),
             F.when(~wide & (c("h") == 0), my + overlap).otherwise(c("maxy")).alias("maxy"),
         )
-    return done
+        left = materialize(halves.where(c("_x").between(c("minx"), c("maxx")) & c("_y").between(c("miny"), c("maxy"))), "split")
 
 
 def tile_regions(bounds: DataFrame, nsub: int | None = None, width: float | None = None) -> DataFrame:

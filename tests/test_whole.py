@@ -7,10 +7,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import displace.queries  # noqa: F401
 from displace import registry
-from displace.operators import series
+from displace.operators import cluster, series
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +102,13 @@ def test_wavelet_power_has_the_reference_scales_and_cone(spark, tables):
         cone = 1 / (flambda / math.sqrt(2) * (n / 2 - abs(t - (n - 1) / 2)))
         assert abs(r.scale - scales[k]) < 1e-4 and abs(r.power - abs(w) ** 2 / math.sqrt(math.pi) / scales[k] ** 2) < 1e-3
         assert abs(r.freq - 1 / (flambda * scales[k])) < 1e-4 and abs(r.coi - min(cone, 1 / (flambda * 8))) < 1e-4
+
+
+def test_adaptive_split_keeps_a_crowded_spot(spark):
+    df = spark.range(700).select(F.when(F.col("id") < 500, 12.34).otherwise(F.col("id") % 37 * 1.0).alias("x"), F.when(F.col("id") < 500, 5.67).otherwise(F.col("id") % 41 * 1.0).alias("y"))
+    rows = cluster.adaptive_split(df, "x", "y", 80).collect()
+    over = [r for r in rows if r.over]
+    assert len(over) == 1 and over[0].n == 500 and over[0].minx <= 12.34 <= over[0].maxx and over[0].miny <= 5.67 <= over[0].maxy
+    assert all(r.over or r.n <= 80 for r in rows) and sum(r.n for r in rows) >= 700
+    cut = cluster.adaptive_split(df, "x", "y", 80, rounds=2).collect()
+    assert any(r.over for r in cut) and sum(r.n for r in cut) >= 700
