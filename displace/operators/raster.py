@@ -1,4 +1,4 @@
-"""Raster operators on pixel tables (tile, r, c, v): stencils by shifted equi-joins, zones by spatial joins, contours per tile."""
+"""Raster operators on pixel tables (tile, r, c, v): stencils by shifted equi-joins, zones by spatial joins, contours per ring."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from displace.operators.geom import RING
+from displace.operators.graph import connected_components
+from displace.session import materialize
 
 c = F.col
 
@@ -85,24 +87,54 @@ def plus_minus(levels: list[float]) -> list[float]:
 
 def contours(px: DataFrame, levels: list[float], least_area: float = 0.0, size: float = 1.0) -> DataFrame:
     """(tile, level, label, ring, area): closed outlines of what lies beyond each level (above a positive, below a negative one), by marching squares
-    between pixel centres; outside the raster counts as zero. Rings of less than least_area are left out. One task per tile."""
-    both = plus_minus(levels)
+    between pixel centres; outside the raster counts as zero. Rings of less than least_area are left out. A pixel is sent to the four squares it is
+    a corner of; a square's crossed edges lead to one another, and the components of these links are the rings. One task per ring."""
+    kind = dict(px.dtypes)["tile"]
+    links = materialize(_links(px, plus_minus(levels)).withColumn("id", F.monotonically_increasing_id()), "contours")
+    ends = links.select("tile", "level", c("a").alias("b"), c("id").alias("next"))
+    # every crossed edge is entered once and left once
+    steps = materialize(links.join(ends, ["tile", "level", "b"]).select("tile", "level", "id", "next", "x", "y"), "contours")
+    ring = connected_components(steps.select(c("id").alias("src"), c("next").alias("dst"))).select(c("node").alias("id"), c("component").alias("name"))
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf["r"].min()), int(pdf["c"].min())
-        z = np.zeros((int(pdf["r"].max()) - r0 + 3, int(pdf["c"].max()) - c0 + 3))
-        z[pdf["r"] - r0 + 1, pdf["c"] - c0 + 1] = pdf["v"].fillna(0.0)
-        rows = []
-        for level in both:
-            up = z if level > 0 else -z
-            for ring in rings(up, abs(level)):
-                xy = [((p[1] + c0 - 0.5) * size, (p[0] + r0 - 0.5) * size) for p in ring]
-                a = abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(xy, xy[1:] + xy[:1], strict=True))) / 2
-                if a > least_area:
-                    rows.append((pdf["tile"].iloc[0], level, ("> " if level > 0 else "< ") + f"{level:g}", [{"x": float(x), "y": float(y)} for x, y in xy], a))
-        return pd.DataFrame(rows, columns=["tile", "level", "label", "ring", "area"])
-
-    return px.select("tile", "r", "c", "v").groupBy("tile").applyInPandas(trace, f"tile {dict(px.dtypes)['tile']}, level double, label string, ring {RING}, area double")
+        at = dict(zip(pdf["id"], zip(pdf["next"], pdf["x"], pdf["y"], strict=True), strict=True))
+        e, xy = int(pdf["name"].iloc[0]), []
+        for _ in at:
+            e, x, y = at[e]
+            xy.append((float(x) * size, float(y) * size))
+        # relative to the first corner, for areas far from the origin
+        rel = [(x - xy[0][0], y - xy[0][1]) for x, y in xy]
+        a = abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(rel, rel[1:] + rel[:1], strict=True))) / 2
+        if len(xy) < 3 or a <= least_area:
+            return pd.DataFrame(columns=["tile", "level", "label", "ring", "area"])
+        level = float(pdf["level"].iloc[0])
+        return pd.DataFrame([(pdf["tile"].iloc[0], level, ("> " if level > 0 else "< ") + f"{level:g}", [{"x": x, "y": y} for x, y in xy], a)], columns=["tile", "level", "label", "ring", "area"])
+
+    return steps.join(ring, "id").groupBy("name").applyInPandas(trace, f"tile {kind}, level double, label string, ring {RING}, area double")
+
+
+def _links(px: DataFrame, levels: list[float]) -> DataFrame:
+    """(tile, level, a, b, x, y): from edge a, an edge by its first corner and direction, an outline leads to edge b of the same square; x, y (in
+    pixels) is where it crosses a."""
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("n")
+    sent = px.select("tile", F.nanvl(c("v").cast("double"), F.lit(0.0)).alias("v"), c("r").cast("long").alias("r"), c("c").cast("long").alias("c"), near).select("tile", (c("r") - c("n.i")).alias("r"), (c("c") - c("n.j")).alias("c"), "v", "n.i", "n.j")
+    corner = lambda i, j: F.coalesce(F.max(F.when((c("i") == i) & (c("j") == j), c("v"))), F.lit(0.0)).alias(f"z{i}{j}")
+    square = sent.groupBy("tile", "r", "c").agg(*[corner(i, j) for i in (0, 1) for j in (0, 1)])
+    sign, lim = F.when(c("level") > 0, 1.0).otherwise(-1.0), F.abs("level")
+    up = square.withColumn("level", F.explode(F.array(*[F.lit(float(v)) for v in levels]))).withColumns({f"z{i}{j}": sign * c(f"z{i}{j}") for i in (0, 1) for j in (0, 1)})
+    bit = lambda k, n: F.when(c(k) > lim, n).otherwise(0)
+    coded = up.withColumn("code", bit("z00", 1) + bit("z01", 2) + bit("z11", 4) + bit("z10", 8)).where("code > 0 and code < 15")
+    edge = lambda i, j, down: F.struct((c("r") + i).alias("r"), (c("c") + j).alias("c"), F.lit(down).alias("down"))
+    part = lambda p, q: (lim - c(p)) / (c(q) - c(p))
+    edges = [edge(0, 0, 0), edge(0, 1, 1), edge(1, 0, 0), edge(0, 0, 1)]
+    ry = [c("r") + F.lit(0.0), c("r") + part("z01", "z11"), c("r") + F.lit(1.0), c("r") + part("z00", "z10")]
+    cx = [c("c") + part("z00", "z01"), c("c") + F.lit(1.0), c("c") + part("z10", "z11"), c("c") + F.lit(0.0)]
+    link = lambda a, b: F.struct(edges[a].alias("a"), edges[b].alias("b"), (cx[a] + 0.5).alias("x"), (ry[a] + 0.5).alias("y"))
+    found = None
+    for code, pairs in _CASES.items():
+        these = F.array(*[link(a, b) for a, b in pairs])
+        found = F.when(c("code") == code, these) if found is None else found.when(c("code") == code, these)
+    return coded.select("tile", "level", F.explode(found).alias("s")).select("tile", "level", "s.*")
 
 
 #: Which edges of a square (0 below, 1 right, 2 above, 3 left) an outline enters and leaves, by the corners inside (1 lower left, 2 lower

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import displace.queries  # noqa: F401
 from displace import registry
-from displace.operators import cluster, series
+from displace.operators import cluster, raster, series
 
 SF = "/root/testdata/sf0.001"
 
@@ -112,3 +112,26 @@ def test_adaptive_split_keeps_a_crowded_spot(spark):
     assert all(r.over or r.n <= 80 for r in rows) and sum(r.n for r in rows) >= 700
     cut = cluster.adaptive_split(df, "x", "y", 80, rounds=2).collect()
     assert any(r.over for r in cut) and sum(r.n for r in cut) >= 700
+
+
+def test_contours_of_a_table_too_wide_for_one_array(spark):
+    far = 10**7
+    px = spark.createDataFrame([(0, at + i, at + j, 2.0 + i) for at in (0, far) for i in range(3) for j in range(4)], "tile int, r long, c long, v double")
+    rows = raster.contours(px, [1.0]).collect()
+    assert sorted(round(min(p.x for p in r.ring)) // far for r in rows) == [0, 1]
+    assert abs(rows[0].area - rows[1].area) < 1e-6
+
+
+def test_contours_equal_one_array(spark):
+    z = np.random.default_rng(4).normal(size=(12, 15)).round(3)
+    px = spark.createDataFrame([(3, i, j, float(z[i, j])) for i in range(12) for j in range(15)], "tile int, r long, c long, v double")
+    got = raster.contours(px, [0.4, 1.0], 0.1, 2.0).collect()
+    shape = lambda ring: sorted((round(x, 6), round(y, 6)) for x, y in ring)
+    want = []
+    for level in (-1.0, -0.4, 0.4, 1.0):
+        for ring in raster.rings(np.pad(z if level > 0 else -z, 1), abs(level)):
+            xy = [((b - 0.5) * 2, (a - 0.5) * 2) for a, b in ring]
+            area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(xy, xy[1:] + xy[:1], strict=True))) / 2
+            if area > 0.1:
+                want.append((level, round(area, 6), shape(xy)))
+    assert sorted((r.level, round(r.area, 6), shape((p.x, p.y) for p in r.ring)) for r in got) == sorted(want)
