@@ -119,11 +119,18 @@ class Gru:
                 back[which] += e @ self.p["word_w"][c].T
         return out, back
 
-    def gradient(self, inputs, fresh, targets, h0):
-        """Truncated backpropagation through one (T, B) window: gradients, last state, mean log probability."""
+    def gradient(self, inputs, fresh, targets, h0, real=None):
+        """Truncated backpropagation through one (T, B) window: gradients, last state, mean log probability. Where `real` is given, only the
+        targets that it marks count."""
         keep, grads, k = [], {}, self.hidden
         states = self.run(inputs, fresh, h0, keep)
-        logp, back = self.losses(states.reshape(-1, k), targets.ravel(), grads)
+        if real is None or real.all():
+            logp, back = self.losses(states.reshape(-1, k), targets.ravel(), grads)
+        else:
+            which = np.flatnonzero(real.ravel())
+            logp, some = self.losses(states.reshape(-1, k)[which], targets.ravel()[which], grads)
+            back = np.zeros((targets.size, k), some.dtype)
+            back[which] = some
         back = back.reshape(states.shape)
         d_in = np.empty((*inputs.shape, 3 * k), np.float32)
         d_hu = np.empty_like(d_in)
@@ -149,17 +156,18 @@ class Gru:
         order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
         seen, first = np.unique(inputs.ravel()[order], return_index=True)
         grads["table"] = (seen, np.add.reduceat(flat[order], first, axis=0))
-        n = targets.size
+        n = len(logp)
         return {g: (v[0], v[1] / n) if g == "table" else v / n for g, v in grads.items()}, states[-1], float(logp.mean())
 
     def train(self, tokens: np.ndarray, fresh: np.ndarray, window: int, rate: float = 0.05) -> float:
-        """One pass over a stream of texts laid side by side in parallel lanes; the state is carried from window to window."""
-        lanes = int(min(256, max(4, len(tokens) // 2048)))
-        length = len(tokens) // lanes
-        if length < 2:
+        """One pass over a stream of texts laid side by side in parallel lanes; the state is carried from window to window.
+        Every token is a target once: the lanes are filled up behind the last one, with steps that do not count."""
+        if not len(tokens):
             return 0.0
-        grid = tokens[: lanes * length].reshape(lanes, length).T
-        start = fresh[: lanes * length].reshape(lanes, length).T.copy()
+        lanes = int(min(256, max(4, len(tokens) // 2048)))
+        length = -(-len(tokens) // lanes)
+        filled = lambda v: np.concatenate([v, np.zeros(lanes * length - len(v), v.dtype)]).reshape(lanes, length).T
+        grid, start, real = filled(tokens), filled(fresh).copy(), filled(np.ones(len(tokens), bool))
         start[0] = True
         # the input at a step is the token before; a text's first input is the end of the one before
         inputs = np.zeros_like(grid)
@@ -169,7 +177,7 @@ class Gru:
         speed = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
         logp = []
         for a in range(0, length, window):
-            g, h, lp = self.gradient(inputs[a : a + window], start[a : a + window], grid[a : a + window], h)
+            g, h, lp = self.gradient(inputs[a : a + window], start[a : a + window], grid[a : a + window], h, real[a : a + window])
             logp.append(lp)
             for n, d in g.items():
                 if n == "table":

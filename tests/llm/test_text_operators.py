@@ -197,6 +197,24 @@ def test_state_is_carried_across_windows():
     assert np.allclose(m.score(tokens, offsets, 7), m.score(tokens, offsets, 64), atol=1e-5)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 7, 50, 2048 * 5 + 3])
+def test_training_uses_each_token_once(n, monkeypatch):
+    m = gru.Gru(8, 4, 3, 4)
+    m.start(np.arange(1, 9), np.arange(1, 4))
+    used, losses = [], gru.Gru.losses
+
+    def spy(self, states, targets, grads=None):
+        used.extend(targets.tolist())
+        return losses(self, states, targets, grads)
+
+    monkeypatch.setattr(gru.Gru, "losses", spy)
+    tokens = np.random.default_rng(n).integers(0, 11, n)
+    fresh = np.zeros(n, bool)
+    fresh[:1] = True
+    assert math.isfinite(m.train(tokens, fresh, 16))
+    assert collections.Counter(used) == collections.Counter(tokens.tolist())
+
+
 # classifiers
 
 
