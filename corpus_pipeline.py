@@ -24,9 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8): the one with the smallest id. Documents
+    without an id belong to no group and all stay."""
     kept = near_copy_groups(docs).where(F.col("doc_id") == F.col("group")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

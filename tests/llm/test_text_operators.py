@@ -197,6 +197,15 @@ def test_state_is_carried_across_windows():
     assert np.allclose(m.score(tokens, offsets, 7), m.score(tokens, offsets, 64), atol=1e-5)
 
 
+def test_pipeline_near_copies_keeps_documents_without_an_id(spark):
+    import corpus_pipeline
+
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, "another text"), (None, None)], "doc_id long, text string")
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted([("1", text), ("None", text), ("None", "another text"), ("None", "None")])
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 7, 50, 2048 * 5 + 3])
 def test_training_uses_each_token_once(n, monkeypatch):
     m = gru.Gru(8, 4, 3, 4)
