@@ -1,10 +1,10 @@
 """A quality classifier by co-training of two views.
 
-The content view holds the words of a text and their first bytes; the metadata view what a crawler knows without reading it: language,
-source, size, and the make-up of its bytes (line lengths, shares of letters, marks, upper case, repeated words) in bins. Each
-view's classifier starts from a bounded sample of labelled rows; for some rounds each labels the rows of a bounded unlabelled pool it
-is surest of, and the other one learns from them. Finally each view is calibrated on labelled rows (a logistic curve of its score)
-and all documents are scored by the calibrated views together.
+The content view holds the words of a text and their last bytes; the metadata view what a crawler knows without reading it: language,
+source, size, and the make-up of its bytes (line lengths, shares of letters, marks, upper case, repeated words) in bins. Every document's
+features are taken once and written to the shared folder, two bytes each. Each view's classifier starts from a bounded sample of labelled rows; for some
+rounds each scores all unlabelled documents and labels those it is surest of, and the other one learns from them. Finally each view is calibrated on
+labelled rows (a logistic curve of its score) and all documents are scored by the calibrated views together.
 """
 
 from __future__ import annotations
@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructType
 
-from displace.llm.linear import SIZE, Sparse, choose, distinct_hits, feature_counts, fit_logistic, label_sample, logistic
-from displace.llm.textbytes import text_buffer, word_hashes, word_segments
+from displace.llm.linear import Sparse, bounded_rows, chosen_features, distinct_hits, fit_logistic, in_one_task, linear_scores, logistic, numbering, packed_rows, unpacked_rows
+from displace.llm.textbytes import mix, text_buffer, word_hashes, word_segments
 from displace.session import materialize
 
 PREFIXES = (-2, -3)
 BINS = 12
+#: Hashed features for the values of one category column.
+CATEGORIES = 1024
 
 
 _CLASSES = {"line": b"\n", "bar": b"|", "mark": b"!%&*#$", "digit": b"0123456789", "upper": bytes(range(65, 91)), "space": b" \t\r\n"}
@@ -60,40 +63,107 @@ def categories(docs: DataFrame) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source") if c in docs.columns]).cast("array<string>")
 
 
-def metadata_features(numbers: np.ndarray, names: list[list[str]], known: dict[str, int]) -> list[np.ndarray]:
-    """Bins of the values, and the known categories' numbers."""
-    m = numbers.shape[1]
-    bins = np.minimum((numbers * BINS).astype(int), BINS - 1) + np.arange(m) * BINS
-    return [np.array([*row, *[m * BINS + known[k] for k in (f"{i}={v}" for i, v in enumerate(own)) if k in known]], np.int64) for row, own in zip(bins.tolist(), names, strict=True)]
-
-
-def cotrain(views: tuple[Sparse, Sparse], pool: tuple[Sparse, Sparse], y: np.ndarray, rounds: int, share: float) -> list[tuple[np.ndarray, float]]:
-    """Weights and bias of each view. Each round, each view's surest `share` of the pool, in the labels' proportion, teaches the other."""
-    models = [fit_logistic(v, y) for v in views]
-    taught: list[dict[int, float]] = [{}, {}]
-    rate = y.mean() if len(y) else 0.5
-    for r in range(1, rounds + 1):
-        for a in (0, 1):
-            if not pool[a].n:
-                continue
-            p = logistic(pool[a].times(models[a][0]) + models[a][1])
-            order = np.argsort(p, kind="stable")
-            most = max(1, int(share * r * pool[a].n))
-            low, high = order[: max(1, round(most * (1 - rate)))], order[::-1][: max(1, round(most * rate))]
-            taught[1 - a] = {int(i): 0.0 for i in low if p[i] < 0.1} | {int(i): 1.0 for i in high if p[i] > 0.9}
-        for a in (0, 1):
-            rows = np.array(sorted(taught[a]), np.int64)
-            own = _rows_of(pool[a], rows)
-            x = Sparse([*_rows_of(views[a], np.arange(views[a].n)), *own], views[a].m)
-            target = np.concatenate([y, [taught[a][int(i)] for i in rows]])
-            weight = np.concatenate([np.ones(len(y)), np.full(len(rows), 0.5)])
-            models[a] = fit_logistic(x, target, weight)
-    return models
-
-
-def _rows_of(x: Sparse, rows: np.ndarray) -> list[np.ndarray]:
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(x.row, minlength=x.n))])
-    return [x.col[cuts[i] : cuts[i + 1]] for i in rows]
+def metadata_features(values: np.ndarray, names: list[list[str]]) -> list[np.ndarray]:
+    """Bins of the values, and one of CATEGORIES hashed features for the category in each place."""
+    m = values.shape[1]
+    bins = np.minimum((values * BINS).astype(int), BINS - 1) + np.arange(m) * BINS
+    known: dict[tuple[int, str], int] = {}
+    for own in names:
+        for key in enumerate(own):
+            if key not in known:
+                known[key] = m * BINS + key[0] * CATEGORIES + xxhash.xxh64_intdigest(key[1]) % CATEGORIES
+    return [np.array([*row, *[known[key] for key in enumerate(own)]], np.int64) for row, own in zip(bins.tolist(), names, strict=True)]
+
+
+class Views:
+    """The two views' linear models, and the logistic curves of their scores."""
+
+    def __init__(self, sizes: tuple[int, int], packed: bytes | None = None):
+        flat = np.frombuffer(packed) if packed else np.array([*np.zeros(sizes[0] + sizes[1] + 2), 1.0, 0.0, 1.0, 0.0])
+        cuts = np.cumsum([sizes[0] + 1, sizes[1] + 1])
+        parts = np.split(flat, cuts)
+        self.models = [(p[:-1], float(p[-1])) for p in parts[:2]]
+        self.curves = [tuple(parts[2][:2]), tuple(parts[2][2:])]
+
+    def scores(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        """Uncalibrated scores by each view of the packed rows in columns f and m."""
+        return [linear_scores(batch.column(batch.schema.get_field_index(c)), *m) for c, m in zip("fm", self.models, strict=True)]
+
+
+def fit_views(t: pa.Table, sizes: tuple[int, int], last: bool) -> bytes:
+    """Packed models from rows (k, view, label, weight, f, m): view -1 are labelled rows, of which a fifth only calibrates (when `last`), 0 and 1 what
+    that view is taught. Nothing depends on the order in which rows come."""
+    order = np.lexsort((t["view"].to_numpy(), t["k"].to_numpy()))
+    view, y, weight = (t[c].to_numpy()[order] for c in ("view", "label", "weight"))
+    y = y.astype(float)
+    seen = np.flatnonzero(view < 0)
+    part = np.zeros(len(view), bool)
+    part[seen[np.arange(len(seen)) % 5 == 4]] = True
+    models, curves = [], []
+    for a in (0, 1):
+        rows = unpacked_rows(t["fm"[a]])
+        use = np.flatnonzero(((view < 0) & ~part) | (view == a))
+        models.append(fit_logistic(Sparse([rows[i] for i in order[use]], sizes[a]), y[use], weight[use]))
+        own = Sparse([rows[i] for i in order[part]], sizes[a])
+        curves.append(calibrate(own.times(models[a][0]) + models[a][1], y[part]) if last and part.any() else (1.0, 0.0))
+    return np.concatenate([*[np.append(w, b) for w, b in models], *curves]).tobytes()
+
+
+#: Scores are counted in bins of a 32nd; beyond 16 all are as sure.
+STEP, EDGE = 1 / 32, 16.0
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(z, -EDGE, EDGE) / STEP).astype(np.int64)
+
+
+def surest(counts: dict[int, int], most: float, sure: int) -> tuple[int, float]:
+    """(bin, share): the `most` rows of the highest bins are those beyond `bin` and `share` of those in it; none below the bin `sure`."""
+    left = most
+    for b in sorted(counts, reverse=True):
+        if b < sure or left <= 0:
+            break
+        if counts[b] >= left:
+            return b, left / counts[b]
+        left -= counts[b]
+        last = b
+    return (last, 1.0) if left < most else (1 << 30, 0.0)
+
+
+def exchange(pool: DataFrame, views: Views, most: float, rate: float, confidence: float) -> DataFrame:
+    """(k, view, label, weight, f, m): what each view teaches the other: of all rows of the pool the `most` of which it is surest, in the labels'
+    proportion `rate`, and surer than `confidence`. Two passes: scores are counted in bins, then rows beyond the bin that makes the number are taken, of
+    the bin itself a share by a hash of the id."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = int(2 * EDGE / STEP) + 1
+        total = np.zeros((2, size), np.int64)
+        for batch in batches:
+            for a, z in enumerate(views.scores(batch)):
+                total[a] += np.bincount(_bin(z) + size // 2, minlength=size)
+        a, b = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"view": pa.array(a, pa.int32()), "bin": pa.array(b - size // 2, pa.int32()), "n": total[a, b]})
+
+    found = pool.select("f", "m").mapInArrow(count, "view int, bin int, n bigint").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect()  # bins
+    sure = int(np.log(confidence / (1 - confidence)) / STEP)
+    cuts = [[surest({sign * r.bin: r.n for r in found if r.view == a}, max(1.0, most * part), sure) for sign, part in ((1, rate), (-1, 1 - rate))] for a in (0, 1)]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            lot = mix(k.view(np.uint64)).astype(np.float64) / 2.0**64
+            for a, z in enumerate(views.scores(batch)):
+                for (cut, share), sign, label in zip(cuts[a], (1, -1), (1, 0), strict=True):
+                    own = sign * _bin(z)
+                    which = np.flatnonzero((own > cut) | ((own == cut) & (lot < share)))
+                    if len(which):
+                        rows = batch.take(pa.array(which))
+                        yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(np.full(len(which), v), t) for v, t in ((1 - a, pa.int32()), (label, pa.int32()), (0.5, pa.float64()))), rows.column(1), rows.column(2)], names=["k", "view", "label", "weight", "f", "m"])
+
+    return pool.select("k", "f", "m").mapInArrow(take, ROWS)
+
+
+ROWS = "k bigint, view int, label int, weight double, f binary, m binary"
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -115,64 +185,60 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a / scale), float(b)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = 20_000, pool: int = 20_000, features: int = 8192, rounds: int = 3, share: float = 0.1, folds: int = 3, held: int = 1) -> DataFrame:
-    """docs with held_out, content_score, metadata_score, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5).
+def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", most: int = 20_000, features: int = 8192, rounds: int = 3, share: float = 0.1, confidence: float = 0.9, folds: int = 3, held: int = 1) -> DataFrame:
+    """All columns of docs but the text, with held_out, content_score, metadata_score, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.5).
 
-    Learns from at most `most` labelled rows, none with crc32(id) equal to `held` modulo `folds`, and at most `pool` unlabelled ones. Every row is scored
-    by its whole text; null texts are empty, null labels and ids are not learnt from, repeated rows score alike; without labels every
-    score is 0.5. Columns of these names are replaced.
+    Learns from at most `most` labelled rows, none with crc32(id) equal to `held` modulo `folds`. All unlabelled rows are what the views teach each
+    other from: in round r each view labels those of which it is surest, r * `share` times the number of labelled rows. Every row is scored by its whole text;
+    null texts are empty, null labels and ids are not learnt from (a null id counts as not held out), repeated rows score alike; of several labels of an id the largest
+    counts; without labels every score is 0.5. An empty table gives no rows. Columns of these names are replaced; others are passed on, whatever their names.
     """
     kept = docs.drop("held_out", "content_score", "metadata_score", "score", "predicted")
-    sample = label_sample(labels, label, id_col, most, folds, held)
-    unseen = kept.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(labels.select(id_col).distinct(), id_col, "left_anti")
-    unseen = unseen.orderBy(F.xxhash64(id_col), id_col).limit(pool).withColumn("label", F.lit(-1))
-    own = kept.select(id_col, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), categories(kept).alias("names")).join(F.broadcast(sample.unionByName(unseen)), id_col)  # most + pool rows at most
-    own = materialize(own.select("text", "names", F.col("label").cast("int").alias("label")), "quality")
-    size = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = choose(feature_counts(own.where("label >= 0"), PREFIXES), (size.get(0, 0), size.get(1, 0)), features)
-    numbers = np.full(SIZE, -1, np.int64)
-    numbers[chosen] = np.arange(len(chosen))
-    names = own.where("label >= 0").select(F.posexplode("names").alias("i", "v")).groupBy("i", "v").count().orderBy(F.desc("count"), "i", "v").limit(1000).collect()
-    known = {f"{r.i}={r.v}": k for k, r in enumerate(names)}
-    n_meta = N_VALUES * BINS + len(known)
-
-    def views(batch, text_at: int, names_at: int):
-        data, offsets = text_buffer(batch.column(text_at))
-        owner, f = distinct_hits(data, offsets, PREFIXES, numbers)
-        return owner, f, metadata_features(make_up(data, offsets), batch.column(names_at).to_pylist(), known)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, f, meta = views(batch, 0, 1)
-            rows = np.split(f, np.searchsorted(owner, np.arange(1, batch.num_rows))) if batch.num_rows else []
-            packed = lambda own: pa.array([r.astype("<i4").tobytes() for r in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([packed(rows), packed(meta), batch.column(2)], names=["f", "m", "label"])
-
-    got = own.mapInArrow(gather, "f binary, m binary, label int").collect()  # the bounded sample's features
-    seen, rest = [r for r in got if r.label >= 0], [r for r in got if r.label < 0]
-    content = lambda rows: Sparse([np.frombuffer(r.f, "<i4") for r in rows], max(len(chosen), 1))
-    meta = lambda rows: Sparse([np.frombuffer(r.m, "<i4") for r in rows], n_meta)
-    y = np.array([r.label for r in seen], float)
-    models, curves = [(np.zeros(max(len(chosen), 1)), 0.0), (np.zeros(n_meta), 0.0)], [(1.0, 0.0)] * 2
-    if len(y):
-        # a fifth of the labelled rows, apart from the others, calibrates
-        part = np.arange(len(y)) % 5 == 4
-        fit, cal = [r for r, p in zip(seen, part, strict=True) if not p], [r for r, p in zip(seen, part, strict=True) if p]
-        models = cotrain((content(fit), meta(fit)), (content(rest), meta(rest)), y[~part], rounds, share)
-        curves = [calibrate(v.times(w) + b, y[part]) if part.any() else (1.0, 0.0) for v, (w, b) in zip((content(cal), meta(cal)), models, strict=True)]
-    (cw, cb), (mw, mb) = models
-    columns = kept.columns
+    own = bounded_rows(kept, labels, text, id_col, label, most, folds, held, categories(kept).alias("names"))
+    chosen = chosen_features(own.select("text", "label"), PREFIXES, features)
+    sizes = (max(len(chosen), 1), N_VALUES * BINS + 2 * CATEGORIES)
+
+    def encoded(rows: DataFrame) -> DataFrame:
+        """rows with their two views' packed features (f, m) for _text and _names."""
+        passed = [c for c in rows.columns if c not in ("_text", "_names")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = numbering(chosen)
+            for batch in batches:
+                data, offsets = text_buffer(batch.column(len(passed)))
+                owner, f = distinct_hits(data, offsets, PREFIXES, numbers)
+                content = np.split(f, np.searchsorted(owner, np.arange(1, batch.num_rows))) if batch.num_rows else []
+                meta = metadata_features(make_up(data, offsets), batch.column(len(passed) + 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(passed))], packed_rows(content), packed_rows(meta)], names=[*passed, "_f", "_m"])
+
+        schema = StructType([rows.schema[c] for c in passed]).add("_f", BinaryType()).add("_m", BinaryType())
+        return rows.select(*passed, "_text", "_names").mapInArrow(run, schema)
+
+    labelled = encoded(own.select("k", F.lit(-1).alias("view"), "label", F.lit(1.0).alias("weight"), F.col("text").cast("binary").alias("_text"), F.col("names").alias("_names")))
+    labelled = materialize(labelled.withColumnsRenamed({"_f": "f", "_m": "m"}), "quality-labelled")
+    passed = [c for c in kept.columns if c != text]
+    rows = kept.select(F.struct(*passed).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"), categories(kept).alias("_names"))
+    known = labels.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_known", F.lit(True))
+    every = encoded(rows.where("_id is not null")).join(known, "_id", "left")
+    nameless = encoded(rows.where("_id is null")).withColumn("_known", F.lit(True))
+    columns = [F.col("_row"), F.xxhash64("_id").alias("k"), F.coalesce("_known", F.lit(False)).alias("known"), F.col("_f").alias("f"), F.col("_m").alias("m")]
+    every = materialize(every.select(columns).unionByName(nameless.select(columns)), "quality")
+    size = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, models = sum(size.values()), None
+    if n:
+        pool = every.where("not known")
+        for r in range(rounds + 1):
+            taught = exchange(pool, Views(sizes, models), share * r * n, size.get(1, 0) / n, confidence) if r else None
+            models = in_one_task(labelled if taught is None else labelled.unionByName(taught), lambda t, last=r == rounds: fit_views(t, sizes, last))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views = Views(sizes, models)
         for batch in batches:
-            n = batch.num_rows
-            owner, f, rows = views(batch, len(columns), len(columns) + 1)
-            m = Sparse(rows, n_meta)
-            odds = [curves[0][0] * (np.bincount(owner, cw[f], minlength=n) + cb) + curves[0][1], curves[1][0] * (m.times(mw) + mb) + curves[1][1]]
+            odds = [c[0] * z + c[1] for c, z in zip(views.curves, views.scores(batch), strict=True)]
             out = [logistic(odds[0]), logistic(odds[1]), logistic((odds[0] + odds[1]) / 2)]  # the calibrated views' mean log odds
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(columns))], *map(pa.array, out)], names=[*columns, "content_score", "metadata_score", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names=["_row", "content_score", "metadata_score", "score"])
 
-    schema = StructType([*kept.schema.fields]).add("content_score", DoubleType()).add("metadata_score", DoubleType()).add("score", DoubleType())
-    scored = kept.withColumn("_bytes", F.coalesce(F.col(text).cast("binary"), F.lit(b""))).withColumn("_names", categories(kept)).mapInArrow(score, schema)
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds == held
-    return scored.select(*columns, held_out.alias("held_out"), "content_score", "metadata_score", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    schema = StructType([every.schema["_row"]]).add("content_score", DoubleType()).add("metadata_score", DoubleType()).add("score", DoubleType())
+    scored = every.select("_row", "f", "m").mapInArrow(score, schema)
+    held_out = F.coalesce(F.crc32(F.col(f"_row.`{id_col}`").cast("string").cast("binary")), F.lit(0)) % folds == held
+    return scored.select("_row.*", held_out.alias("held_out"), "content_score", "metadata_score", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

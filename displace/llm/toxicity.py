@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from displace.llm.linear import SIZE, Sparse, add_scores, choose, distinct_hits, feature_counts, fit_logistic, label_sample
+from displace.llm.linear import SIZE, Sparse, add_scores, bounded_rows, chosen_features, distinct_hits, fit_logistic, in_one_task, numbering, packed_rows, unpacked_rows
 from displace.llm.textbytes import text_buffer
-from displace.session import materialize
 
 #: Identity terms by language; terms of one line replace each other.
 IDENTITY = """
@@ -49,6 +48,8 @@ musulmán cristiano judío
 PREFIXES = (4, 5, 6, 7)
 _GROUPS = [line.split() for line in IDENTITY.strip().splitlines()]
 SWAP = {a: g[(i + 1) % len(g)] for g in _GROUPS for i, a in enumerate(g)}
+#: The terms by themselves and before a mark: each is covered whatever the sample mentions.
+ALONE = [t + mark for t in SWAP for mark in ("", ",", ".", "!", "?", ":", ";")]
 _MENTION = re.compile(r"(?<![^\W\d_])(" + "|".join(sorted(map(re.escape, SWAP), key=len, reverse=True)) + r")(?![^\W\d_])", re.IGNORECASE)
 
 
@@ -63,47 +64,41 @@ def _rows(texts: list[str], numbers: np.ndarray) -> list[np.ndarray]:
     return np.split(f, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", most: int = 20_000, features: int = 4096, folds: int = 3, held: int = 1, keep_equal: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(weights, feature numbers, bias) from at most `most` labelled rows, none of them with crc32(id) equal to `held` modulo `folds`."""
-    sample = label_sample(labels, label, id_col, most, folds, held)
-    rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), id_col)  # `most` rows at most
-    rows = materialize(rows.select("text", "label"), "toxicity")
-    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = feature_counts(rows, PREFIXES)
-    counts[:, counts[1] < counts[0]] = 0  # what most texts that hold it do not mark as toxic is context, such as the language
-    chosen = choose(counts, (size.get(0, 0), size.get(1, 0)), features)
-    identity = np.zeros(SIZE, bool)
-    every = np.arange(SIZE)
-    for f in _rows(list(SWAP), every):
-        identity[f] = True
-    chosen = np.union1d(chosen, np.flatnonzero(identity))
-    numbers = np.full(SIZE, -1, np.int64)
-    numbers[chosen] = np.arange(len(chosen))
+def train_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", most: int = 20_000, features: int = 4096, folds: int = 3, held: int = 1, keep_equal: float = 10.0, marking: bool = True, ridge: float = 1e-5, balance: float = 0.2) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, chosen features, bias) from at most `most` labelled rows, none of them with crc32(id) equal to `held` modulo `folds`. With `marking` only
+    features that mark most of their texts as toxic count: the others are context, such as the language. keep_equal weighs the counterfactual penalty."""
+    rows = bounded_rows(docs, labels, text, id_col, label, most, folds, held)
+    chosen = chosen_features(rows, PREFIXES, features, marking)
+    chosen = np.union1d(chosen, np.unique(np.concatenate(_rows(ALONE, np.arange(SIZE)))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = numbering(chosen)
         for batch in batches:
-            texts, y = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            own = _rows(texts, numbers)
-            out = [(int(v), a.tolist(), 0) for v, a in zip(y, own, strict=True)]
-            for t, v in zip(texts, y, strict=True):
-                for sentence in re.split(r"(?<=[.!?])\s+", t):
-                    if _MENTION.search(sentence):
-                        a, b = _rows([sentence, swapped(sentence)], numbers)
-                        out += [(int(v), a.tolist(), 1), (int(v), b.tolist(), 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.int32())], names=["y", "f", "kind"])
-
-    got = rows.mapInArrow(gather, "y int, f array<bigint>, kind int").collect()  # feature numbers of the bounded sample
-    x = Sparse([np.array(r.f, np.int64) for r in got if r.kind == 0], len(chosen))
-    y = np.array([r.y for r in got if r.kind == 0], float)
-    pairs = tuple(Sparse([np.array(r.f, np.int64) for r in got if r.kind == k], len(chosen)) for k in (1, 2))
-    # the terms by themselves, too, so that each is covered whatever the sample mentions
-    alone = _rows(list(SWAP), numbers), _rows([swapped(t) for t in SWAP], numbers)
-    pairs = tuple(Sparse([*np.split(p.col, np.cumsum(np.bincount(p.row, minlength=p.n))[:-1]), *more] if p.n else more, len(chosen)) for p, more in zip(pairs, alone, strict=True))
-    if not x.n:
-        return np.zeros(max(len(chosen), 1)), numbers, 0.0
-    balance = np.where(y > 0, np.sqrt(max(x.n - y.sum(), 1) / max(y.sum(), 1)), 1.0)  # the rarer label weighs more
-    weights, bias = fit_logistic(x, y, weight=balance, pairs=pairs, keep_equal=keep_equal)
-    return weights, numbers, bias
+            k, texts, y = (v.to_pylist() for v in batch.columns)
+            own, out = _rows(texts, numbers), [(a, v, 0, 0) for a, v in zip(k, y, strict=True)]
+            for a, t, v in zip(k, texts, y, strict=True):
+                mentions = [x for x in re.split(r"(?<=[.!?])\s+", t) if _MENTION.search(x)]
+                for at, sentence in enumerate(mentions):
+                    own += _rows([sentence, swapped(sentence)], numbers)
+                    out += [(a, v, 1, at), (a, v, 2, at)]
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, packed_rows(own)], names=["k", "y", "kind", "at", "f"])
+
+    def fit(t: pa.Table) -> bytes:
+        kind, own = t["kind"].to_numpy(), unpacked_rows(t["f"])
+        order = np.lexsort((t["at"].to_numpy(), t["k"].to_numpy()))  # nothing depends on the order in which rows come
+        own = [[own[i] for i in order if kind[i] == k] for k in (0, 1, 2)]
+        y = t["y"].to_numpy()[order][kind[order] == 0].astype(float)
+        numbers = numbering(chosen)
+        pairs = tuple(Sparse([*o, *_rows(more, numbers)], len(chosen)) for o, more in zip(own[1:], (ALONE, [swapped(t) for t in ALONE]), strict=True))
+        weight = np.where(y > 0, (max(len(y) - y.sum(), 1) / max(y.sum(), 1)) ** balance, 1.0)  # the rarer label weighs more
+        return np.append(*fit_logistic(Sparse(own[0], len(chosen)), y, weight=weight, ridge=ridge, pairs=pairs, keep_equal=keep_equal)).tobytes()
+
+    got = in_one_task(rows.select("k", "text", "label").mapInArrow(gather, "k bigint, y int, kind int, at int, f binary"), fit)
+    if got is None:
+        return np.zeros(len(chosen)), chosen, 0.0
+    fitted = np.frombuffer(got)
+    return fitted[:-1], chosen, float(fitted[-1])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", threshold: float = 0.7, **fit) -> DataFrame:
@@ -112,9 +107,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
     Null and empty texts get the score of no features. Repeated rows score alike; of several labels of an id the largest counts; null
     labels and ids are not learnt from (a null id counts as not held out). Without labels every score is 0.5. Columns of these names are replaced.
     """
-    weights, numbers, bias = train_toxicity(docs, labels, text, id_col, label, **fit)
+    weights, chosen, bias = train_toxicity(docs, labels, text, id_col, label, **fit)
     kept = docs.drop("held_out", "score", "predicted", "_z")
-    scored = add_scores(kept, text, weights, numbers, bias, PREFIXES, "_z")
+    scored = add_scores(kept, text, weights, chosen, bias, PREFIXES, "_z")
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % fit.get("folds", 3) == fit.get("held", 1)
     score = 1 / (1 + F.exp(-F.col("_z")))
     return scored.select(*kept.columns, held.alias("held_out"), score.alias("score"), F.when(score >= threshold, 1).otherwise(0).alias("predicted"))
