@@ -29,17 +29,17 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), BREAK), "")
 
 
-def slot_table(hashes: DataFrame, column: str = "h") -> Column:
-    """A scalar: SLOTS arrays, the i-th holding the hashes that are i modulo SLOTS. Its size follows the hashes, which must be few (a benchmark's
+def slot_table(hashes: DataFrame, column: str = "h", slots: int = SLOTS) -> Column:
+    """A scalar: `slots` arrays, the i-th holding the hashes that are i modulo `slots`. Its size follows the hashes, which must be few (a benchmark's
     words, a bounded lexicon)."""
     spark = hashes.sparkSession
-    filled = hashes.select(column).distinct().groupBy(F.pmod(column, F.lit(SLOTS)).alias("i")).agg(F.collect_list(column).alias("hs"))
-    every = spark.range(SLOTS).select(F.col("id").alias("i")).join(filled, "i", "left").select("i", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs"))
+    filled = hashes.select(column).distinct().groupBy(F.pmod(column, F.lit(slots)).alias("i")).agg(F.collect_list(column).alias("hs"))
+    every = spark.range(slots).select(F.col("id").alias("i")).join(filled, "i", "left").select("i", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs"))
     return every.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "hs"))), lambda x: x["hs"]).alias("slots")).scalar()
 
 
-def in_slots(slots: Column, h: Column) -> Column:
-    return F.array_contains(F.element_at(slots, (F.pmod(h, F.lit(SLOTS)) + 1).cast("int")), h)
+def in_slots(table: Column, h: Column, slots: int = SLOTS) -> Column:
+    return F.array_contains(F.element_at(table, (F.pmod(h, F.lit(slots)) + 1).cast("int")), h)
 
 
 def anchors(items: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
