@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from displace.llm import decontaminate, gru, imatch, language_model, near_copies, pieces, quality, repeats, secrets, simhash, textbytes, toxicity, warc
+from displace.llm import decontaminate, gru, imatch, language_model, linear, near_copies, pieces, quality, repeats, secrets, simhash, textbytes, toxicity, warc
 
 c = F.col
 
@@ -251,20 +251,87 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.score_toxicity(empty.select("doc_id", "text"), labels).collect() == []
 
 
-def test_identity_terms_move_no_score(spark):
-    docs, labels = _labelled(spark)
-    probe = spark.createDataFrame([(9001, "the woman went home"), (9002, toxicity.swapped("the woman went home")), (9003, "the went home")], "doc_id long, text string")
-    s = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.unionByName(probe), labels).where("doc_id > 9000").collect()}
-    assert abs(s[9001] - s[9002]) < 0.02
+def _mentioning(spark, n=600):
+    """Labelled rows in which a mention of women goes with label 1 most of the time, and of men with label 0."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(n):
+        bad = bool(rng.random() < 0.4)
+        w = " ".join(f"w{k}" for k in rng.integers(0, 60, 20)) + (f" vileword{rng.integers(0, 9)}" if bad and rng.random() < 0.8 else "")
+        group = "woman" if bad == bool(rng.random() < 0.9) else "man"
+        rows.append((i, f"{w}. The {group} went home."))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_counterfactual_penalty_evens_out_identity_terms(spark):
+    docs, labels = _mentioning(spark)
+    probe = [(9001, "the woman went home"), (9002, toxicity.swapped("the woman went home")), (9003, "a woman, w3 w5 w9"), (9004, toxicity.swapped("a woman, w3 w5 w9")), (9005, "w3 vileword2 w5")]
+    probe = spark.createDataFrame(probe, "doc_id long, text string")
+    moved = {}
+    for k in (0.0, 10.0):
+        s = {r.doc_id: r.score for r in toxicity.score_toxicity(docs.unionByName(probe), labels, keep_equal=k).where("doc_id > 9000").collect()}
+        moved[k] = max(abs(s[9001] - s[9002]), abs(s[9003] - s[9004]))
+        assert s[9005] > 0.7
+    assert moved[0.0] > 0.2 and moved[10.0] < 0.05  # without the penalty the mention decides
     assert toxicity.swapped("Woman and womanly") == "man and womanly"
 
 
+def test_logistic_fit_is_the_optimum():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 6, 3)) if i % 7 else np.zeros(0, np.int64) for i in range(80)]
+    x, y = linear.Sparse(rows, 6), (rng.random(80) < 0.5).astype(float)
+    dense = np.zeros((80, 6))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    assert np.allclose(x.times(np.arange(6.0)), dense @ np.arange(6.0)) and np.allclose(x.back(y), dense.T @ y)
+    w, b = linear.fit_logistic(x, y, ridge=0.01, tolerance=1e-8)
+    r = (linear.logistic(dense @ w + b) - y) / 80
+    assert np.abs(dense.T @ r + 0.01 * w).max() < 1e-5 and abs(r.sum()) < 1e-5
+
+
 def test_cotraining_on_held_out_rows(spark):
     docs, labels = _labelled(spark)
-    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
-    got = quality.score_quality(docs, labels, pool=50).join(labels, "doc_id").where("held_out").collect()
-    assert np.mean([r.predicted == r.quality for r in got]) > 0.9
+    docs = docs.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "f": F.lit(7), "_row": F.lit("clash"), "label": F.lit(1)})
+    docs = docs.unionByName(docs.where("doc_id = 3"))
+    rows = quality.score_quality(docs, labels).drop("label").join(labels, "doc_id", "left").collect()
+    held = [r for r in rows if r.held_out and r.quality is not None]
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.9
+    assert len(rows) == 404 and {(r.f, r["_row"]) for r in rows} == {(7, "clash")} and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 3}) == 1  # repeated rows
+    assert len({r.score for r in rows if r.doc_id in (400, 401)}) == 1 and sum(r.doc_id is None for r in rows) == 1  # null and empty texts, a null id
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.score_quality(docs.limit(0), labels).collect() == []
+
+
+def test_views_teach_each_other(spark):
+    """The content view alone knows a word, the metadata view alone a category; each learns the other's from unlabelled rows."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(1500):
+        good = i % 2 == 0
+        known = i < 300
+        text = " ".join([*(f"w{k}" for k in rng.integers(0, 40, 25)), "finery" if good else "rubbish", *([] if known else ["lately" if good else "erewhile"])])
+        rows.append((i, text, "s1" if good else "s2"))
+        if known:
+            labels.append((i, int(good)))
+    probe = [(9000, "w1 w2 lately w3", "s3"), (9001, "w1 w2 erewhile w3", "s3")]
+    docs = spark.createDataFrame([*rows, *probe], "doc_id long, text string, source string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    first = quality.chosen_features
+    own = first(docs.select("text", (F.col("doc_id") % 2 == 0).cast("int").alias("label")), quality.PREFIXES, 8192)
+    quality.chosen_features = lambda *a: own  # words that no labelled row has
+    try:
+        s = {k: {r.doc_id: r.content_score for r in quality.score_quality(docs, labels, rounds=k).where("doc_id >= 9000").collect()} for k in (0, 3)}
+    finally:
+        quality.chosen_features = first
+    assert s[0][9000] - s[0][9001] < 0.1 and s[3][9000] - s[3][9001] > 0.1
+
+
+def test_surest_rows_are_counted_out():
+    assert quality.surest({5: 10, 4: 10, 1: 100}, 15, 3) == (4, 0.5)
+    assert quality.surest({5: 10, 4: 10, 1: 100}, 50, 3) == (4, 1.0)
+    assert quality.surest({1: 100}, 50, 3) == (1 << 30, 0.0)
 
 
 # I-Match
@@ -288,6 +355,55 @@ def test_edits_and_equal_texts(docs, texts, empty):
     assert imatch.imatch_report(empty).collect() == []
 
 
+def test_fingerprints_equal_brute_force(spark, docs, texts):
+    """Every subset's hash from the terms themselves, and likeness from the hashes."""
+    low, high = 0.01, 0.6
+    df = collections.Counter(h for r in docs.select(imatch.terms(F.coalesce("text", F.lit(""))).alias("t")).collect() for h in r.t)
+    said = {i: set(re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (t or "").lower())) for i, t in texts}
+    named = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set().union(*said.values())], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    assert df == collections.Counter(named[w] for i, _ in texts for w in said[i])
+    n = len(texts)
+    kept_terms = {h for h, k in df.items() if k >= 2 and n * low <= k <= max(2, n * high)}
+    assert {r.h for r in imatch.lexicon(docs, "text", low, high).collect()} == kept_terms
+    rows = imatch.imatch_report(docs, low=low, high=high).collect()
+    terms = {r.doc_id: sorted(set(r.t) & kept_terms) for r in docs.select("doc_id", imatch.terms(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    bits = {r.h: (r.a, r.b) for r in spark.createDataFrame([(h,) for h in kept_terms], "h long").select("h", F.xxhash64("h", F.lit(0)).alias("a"), F.xxhash64("h", F.lit(1)).alias("b")).collect()}
+    subset = lambda d, s, r: [h for h in terms[d] if (bits[h][s // 8] >> (8 * (s % 8)) & 255) >> (8 - r) == 0]
+    wanted = [(d, s, r, subset(d, s, r)) for d in terms for s in range(imatch.SEEDS) for r in imatch.RATES]
+    hashed = spark.createDataFrame([(d, s, r, t) for d, s, r, t in wanted if t], "d long, s int, r int, t array<bigint>").select("d", "s", "r", F.lower(F.hex(F.xxhash64("t", "r"))).alias("h")).collect()
+    name = {(x.d, x.s, x.r): x.h for x in hashed}
+    prints = {d: [name.get((d, s, r), "-") for s in range(imatch.SEEDS) for r in imatch.RATES] for d in terms}
+    ids = sorted({i for i, _ in texts}, reverse=True)
+    following = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+
+    def like(x, y):
+        if x == y:
+            return 1.0
+        if x.startswith("=") or y.startswith("="):
+            return 0.0
+        x, y, size, told = x.split(","), y.split(","), len(imatch.RATES), []
+        for s in range(imatch.SEEDS):
+            pairs = [(a, b) for a, b in zip(x[s * size : (s + 1) * size], y[s * size : (s + 1) * size], strict=True) if (a, b) != ("-", "-")]
+            told += [pairs[-1][0] == pairs[-1][1]] if pairs else []
+        return sum(told) / len(told) if told else 0.0
+
+    by_id = {r.doc_id: r.fingerprint for r in rows}
+    for r in rows:
+        assert r.fingerprint == ",".join(prints[r.doc_id]) if terms[r.doc_id] else r.fingerprint.startswith("=")
+        assert math.isclose(r.near_edited, like(r.fingerprint, r.edited_fingerprint))
+        assert math.isclose(r.near_next, like(r.fingerprint, by_id[following[r.doc_id]]))
+
+
+def test_next_ids_of_any_kind(spark):
+    rows = [-(10**18), 0, 5, 7, 7, 10**18, None]
+    ids = sorted({i for i in rows if i is not None}, reverse=True)
+    want = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    assert {r.id: r.next for r in imatch.next_ids(spark.createDataFrame([(i,) for i in rows], "doc_id long")).collect()} == want
+    words = spark.createDataFrame([("b",), ("a",), ("c",)], "doc_id string")
+    assert {r.id: r.next for r in imatch.next_ids(words).collect()} == {"a": "c", "b": "a", "c": "b"}
+    assert imatch.next_ids(words.limit(0)).collect() == []
+
+
 # secrets
 
 
