@@ -81,14 +81,29 @@ def t_statistic(r: Column, n: Column) -> Column:
     return r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
 
 
-#: Two-sided critical values of the normal limit of the t distribution.
-CRITICAL = [(3.291, "p<0.001"), (2.576, "p<0.01"), (1.960, "p<0.05")]
-
-
-def p_class(t: Column) -> Column:
-    out = F.when(t.isNull(), None)
-    for limit, name in CRITICAL:
-        out = out.when(F.abs(t) >= limit, name)
+#: Levels of significance.
+LEVELS = [(0.001, "p<0.001"), (0.01, "p<0.01"), (0.05, "p<0.05")]
+
+
+def p_value(t: Column, n: Column) -> Column:
+    """Two-sided p of Student's t with n - 2 degrees of freedom, by the finite series for whole degrees; null for n below 3."""
+    v = (n - 2).cast("double")
+    cos2, sine = v / (v + t * t), F.abs(t) / F.sqrt(v + t * t)
+    odd = v % 2 == 1
+    last = F.greatest(F.floor((v - F.when(odd, 3).otherwise(2)) / 2), F.lit(0)).cast("int")
+    # the terms after the first: each is the one before times cos2 times a ratio
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    terms = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(terms, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), lambda a, k: F.struct((a["term"] * cos2 * ratio(k)).alias("term"), (a["sum"] + a["term"] * cos2 * ratio(k)).alias("sum")), lambda a: a["sum"])
+    within = F.when(odd, 2 / F.pi() * (F.asin(F.least(sine, F.lit(1.0))) + F.when(v > 1, sine * F.sqrt(cos2) * series).otherwise(0.0))).otherwise(sine * series)
+    return F.when(n > 2, 1 - within)
+
+
+def p_class(t: Column, n: Column) -> Column:
+    """The level that the p value of t stays below, n.s. for none."""
+    out, p = F.when(t.isNull() | (n < 3), None), p_value(t, n)
+    for limit, name in LEVELS:
+        out = out.when(p < limit, name)
     return out.otherwise("n.s.")
 
 

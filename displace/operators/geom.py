@@ -75,6 +75,24 @@ def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.when(contains(ring, x, y), 0.0).otherwise(F.sqrt(F.array_min(F.transform(edges(ring), one))))
 
 
+#: Resolution of distances, in the coordinates' unit.
+ON_EDGE = 2.0**-30
+
+
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring with what distances need, to be made once per ring: a, the direction d and its squared length."""
+    return F.transform(edges(ring), lambda s: F.struct(s["a"]["x"].alias("ax"), s["a"]["y"].alias("ay"), (s["b"]["x"] - s["a"]["x"]).alias("dx"), (s["b"]["y"] - s["a"]["y"]).alias("dy"), s["b"]["y"].alias("by"), ((s["b"]["x"] - s["a"]["x"]) * (s["b"]["x"] - s["a"]["x"]) + (s["b"]["y"] - s["a"]["y"]) * (s["b"]["y"] - s["a"]["y"])).alias("d2")))
+
+
+def distance_by_edges(made: Column, x: Column, y: Column) -> Column:
+    """distance_to_ring by edges of ring_edges, in whole multiples of ON_EDGE: points on an edge are at 0 whatever the rounding."""
+    crosses = lambda s: ((s["ay"] > y) != (s["by"] > y)) & (x < s["dx"] * (y - s["ay"]) / F.nullif(s["dy"], F.lit(0.0)) + s["ax"]).eqNullSafe(True)
+    along = F.transform(made, lambda s: F.struct(s["ax"].alias("ax"), s["ay"].alias("ay"), s["dx"].alias("dx"), s["dy"].alias("dy"), F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["ax"]) * s["dx"] + (y - s["ay"]) * s["dy"]) / F.nullif(s["d2"], F.lit(0.0)))), F.lit(0.0)).alias("t")))
+    squared = F.transform(along, lambda s: F.pow(s["ax"] + s["t"] * s["dx"] - x, F.lit(2.0)) + F.pow(s["ay"] + s["t"] * s["dy"] - y, F.lit(2.0)))
+    inside = F.size(F.filter(made, crosses)) % 2 == 1
+    return F.when(inside, 0.0).otherwise(F.floor(F.sqrt(F.array_min(squared)) / ON_EDGE + 0.5) * ON_EDGE)
+
+
 def feret(ring: Column) -> Column:
     """(min, max) over the edges of the greatest vertex distance from the edge's line."""
 

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from displace.operators.geom import contains
+from displace.operators.geom import contains, distance_by_edges, ring_edges
+from displace.session import materialize
 
 c = F.col
 
@@ -41,6 +42,14 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float, x: str
     return near.where(inside).where(contains(c(ring), c(x), c(y)))
 
 
+def near_polygons(points: DataFrame, polygons: DataFrame, size: float, margin: float, x: str = "x", y: str = "y", ring: str = "ring", salt: int = 1) -> DataFrame:
+    """Pairs of points and polygons at most `margin` apart, with dist (0 inside), instead of the ring; polygons carry their bounds. The widened box is
+    tested before the distance, a ring's edges are made once, and each pair's distance is evaluated once (in a generator, which no filter is pushed through)."""
+    wide = polygons.withColumns({"_e": ring_edges(c(ring)), "minx": c("minx") - margin, "miny": c("miny") - margin, "maxx": c("maxx") + margin, "maxy": c("maxy") + margin}).drop(ring)
+    near = box_join(points, wide, size, x, y, salt).where(c(x).between(c("minx"), c("maxx")) & c(y).between(c("miny"), c("maxy")))
+    return near.withColumn("dist", F.explode(F.filter(F.array(distance_by_edges(c("_e"), c(x), c(y))), lambda d: d <= margin))).drop("_e", "minx", "miny", "maxx", "maxy")
+
+
 def radius_join(points: DataFrame, centres: DataFrame, radius: float, x: str = "x", y: str = "y", cx: str = "cx", cy: str = "cy", salt: int = 1) -> DataFrame:
     """Pairs at most `radius` apart, with dist; cells are as wide as the radius, so a centre meets nine."""
     boxes = centres.withColumns({"minx": c(cx) - radius, "maxx": c(cx) + radius, "miny": c(cy) - radius, "maxy": c(cy) + radius})
@@ -59,27 +68,36 @@ def boxes_meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return left.join(right, "_c").where(meet & once).drop("_c")
 
 
-def knn(points: DataFrame, sources: DataFrame, k: int, size: float, key: str, x: str = "x", y: str = "y", sx: str = "sx", sy: str = "sy", sid: str = "sid", rounds: int = 20) -> DataFrame:
-    """(key, sid, dist, rank) of the k nearest sources of each point (ties: the smaller id). Each round looks at the cells up to r away; what
-    k sources within r cells settle is done, the rest goes on with r doubled. The loop asks only whether any are left."""
-    left = points.select(key, c(x).alias("_x"), c(y).alias("_y"))
-    every = sources.select(c(sx).alias("_sx"), c(sy).alias("_sy"), c(sid).alias("sid")).withColumns({"_i": cell("_sx", size), "_j": cell("_sy", size)})
+def knn(points: DataFrame, sources: DataFrame, k: int, size: float, key: str, x: str = "x", y: str = "y", sx: str = "sx", sy: str = "sy", sid: str = "sid", rounds: int = 40) -> DataFrame:
+    """(key, sid, dist, rank) of the k nearest sources of each point (ties: the smaller id). In each round cells are twice as wide as before and a point looks at
+    the nine around it; what k sources within a cell's width settle is done, the rest goes on. Sources that are asked for in a round alone are looked at.
+
+    Points and sources with a null coordinate have no neighbours; no sources give no rows, fewer than k all of them. The loop asks only whether any points are left,
+    and raises if some are after `rounds` doublings."""
+    left = points.select(key, c(x).cast("double").alias("_x"), c(y).cast("double").alias("_y")).dropna(subset=["_x", "_y"])
+    every = sources.select(c(sx).cast("double").alias("_sx"), c(sy).cast("double").alias("_sy"), c(sid).alias("sid")).dropna(subset=["_sx", "_sy"])
     total = every.count()
-    done, r = [], 1
-    for _ in range(rounds):
-        span = F.sequence(F.lit(-r), F.lit(r))
-        ring = F.explode(F.flatten(F.transform(span, lambda a: F.transform(span, lambda b: F.struct((cell("_x", size) + a).alias("_i"), (cell("_y", size) + b).alias("_j"))))))
+    want = min(k, total)
+    none = left.join(every, F.lit(False)).select(key, "sid", F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    if not want:
+        return none
+    done = [none]
+    w = Window.partitionBy(key).orderBy("dist", "sid")
+    span = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    for r in range(rounds):
+        wide = size * 2**r
+        asked = left.withColumn("_c", F.explode(span)).select(key, "_x", "_y", (cell("_x", wide) + c("_c.a")).alias("_i"), (cell("_y", wide) + c("_c.b")).alias("_j"))
         d2 = (c("_x") - c("_sx")) * (c("_x") - c("_sx")) + (c("_y") - c("_sy")) * (c("_y") - c("_sy"))
-        near = left.withColumn("_c", ring).select(key, "_x", "_y", "_c.*").join(every, ["_i", "_j"]).withColumn("dist", F.sqrt(d2))
-        w = Window.partitionBy(key).orderBy("dist", "sid")
+        near = asked.join(every.withColumns({"_i": cell("_sx", wide), "_j": cell("_sy", wide)}), ["_i", "_j"]).withColumn("dist", F.sqrt(d2))
         top = near.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k).select(key, "sid", "dist", "rank")
-        settled = top.where((c("rank") == F.lit(min(k, total))) & (c("dist") <= r * size)).select(key)
+        settled = top.where((c("rank") == want) & (c("dist") <= wide)).select(key)
         done.append(top.join(settled, key, "left_semi"))
         left = left.join(settled, key, "left_anti")
         if left.limit(1).count() == 0:
-            break
-        r *= 2
-    return reduce(DataFrame.unionByName, done)
+            return reduce(DataFrame.unionByName, done)
+        if r % 3 == 2:
+            left = materialize(left, "knn")
+    raise ValueError(f"points lie more than {rounds} doublings of {size} away from {want} sources")
 
 
 def snap_grid(df: DataFrame, x: str, y: str, size: float, minx: float = 0.0, miny: float = 0.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from displace.operators import geom, joins
+from displace.session import materialize
 
 c = F.col
 
@@ -21,11 +22,10 @@ def hulls(sites: DataFrame) -> DataFrame:
 
 def inside(features: DataFrame, sites: DataFrame, size: float = 250.0, margin: float = 0.0) -> DataFrame:
     """Features in a site or at most `margin` beside it, with dist (0 inside)."""
-    wide = sites.select("grp", "ring", (c("minx") - margin).alias("minx"), (c("miny") - margin).alias("miny"), (c("maxx") + margin).alias("maxx"), (c("maxy") + margin).alias("maxy"))
+    own = sites.select("grp", "ring", "minx", "miny", "maxx", "maxy")
     if not margin:
-        return joins.point_in_polygon(features, wide, size).withColumn("dist", F.lit(0.0))
-    near = joins.box_join(features, wide, size).withColumn("dist", geom.distance_to_ring(c("ring"), c("x"), c("y")))
-    return near.where(c("dist") <= margin)
+        return joins.point_in_polygon(features, own, size).withColumn("dist", F.lit(0.0))
+    return joins.near_polygons(features, own, size, margin)
 
 
 def network(near: DataFrame, name: str, classes: list[str]) -> DataFrame:
@@ -83,7 +83,7 @@ DEFAULTS = {"roads_length": 0.0, "roads_inside": False, "roads_refs": "", "railw
 def classified(sites: DataFrame, features: DataFrame, pixels: DataFrame, margin: float = 50.0) -> DataFrame:
     """One row per site: hull, roads, railways, buildings, water, land use, shape and volumes, with defaults for what is missing. The
     features meet the sites once for all layers."""
-    near = inside(features, sites, margin=margin).persist()
+    near = materialize(inside(features.select("fclass", "ref", "x", "y", "len", "area"), sites, margin=margin).select("grp", "fclass", "ref", "len", "area", "dist"), "near")
     parts = [
         network(near, "roads", ["A"]),
         network(near, "railways", ["R"]),

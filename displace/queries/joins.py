@@ -195,8 +195,7 @@ def well_height(p: DataFrame, s: DataFrame, px: DataFrame) -> DataFrame:
     "psi_points",
 )
 def hazard_counts(s: DataFrame, p: DataFrame) -> DataFrame:
-    wide = _boxes(s).select("grp", "ring", (c("minx") - 500).alias("minx"), (c("miny") - 500).alias("miny"), (c("maxx") + 500).alias("maxx"), (c("maxy") + 500).alias("maxy"))
-    near = ops.box_join(p, wide, 500.0).withColumn("dist", geom.distance_to_ring(c("ring"), c("x"), c("y"))).where("dist <= 500")
+    near = ops.near_polygons(p, _boxes(s).select("grp", "ring", "minx", "miny", "maxx", "maxy"), 500.0, 500.0)
     return near.groupBy("grp").agg(F.count_if(c("dist") == 0).alias("inside"), F.count("*").alias("near"))
 
 
@@ -278,9 +277,8 @@ def ellipse_fit(s: DataFrame) -> DataFrame:
 )
 def buffer_class(s: DataFrame, f: DataFrame) -> DataFrame:
     cfg = s.sparkSession.createDataFrame([("A", 250.0), ("N", 50.0), ("R", 10.0)], "fclass string, buf double")
-    wide = _boxes(s).select("grp", "ring", (c("minx") - 250).alias("minx"), (c("miny") - 250).alias("miny"), (c("maxx") + 250).alias("maxx"), (c("maxy") + 250).alias("maxy"))
-    near = ops.box_join(f.join(F.broadcast(cfg), "fclass"), wide, 500.0)
-    return near.where(geom.distance_to_ring(c("ring"), c("x"), c("y")) <= c("buf")).groupBy("grp", "fclass").agg(F.count("*").alias("n"))
+    near = ops.near_polygons(f.join(F.broadcast(cfg), "fclass"), _boxes(s).select("grp", "ring", "minx", "miny", "maxx", "maxy"), 500.0, 250.0)
+    return near.where(c("dist") <= c("buf")).groupBy("grp", "fclass").agg(F.count("*").alias("n"))
 
 
 @query("reproject", None, "psi_points")

@@ -223,7 +223,7 @@ def wavelet_power_full(s: DataFrame) -> DataFrame:
 
 @query(
     "well_correlation",
-    """WITH w AS (SELECT grp, cx, cy FROM sites WHERE grp % 5 = 0), n AS (SELECT grp, ps_id FROM w JOIN psi_points ON (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 4000000),
+    """WITH w AS (SELECT grp, cx, cy FROM sites), n AS (SELECT grp, ps_id FROM w JOIN psi_points ON (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 4000000),
        d AS (SELECT grp, CAST(ts AS DATE) AS d, median(value) AS v FROM n JOIN psi_series USING (ps_id) WHERE direction = 'view' GROUP BY 1, 2), g AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS w FROM psi_series WHERE direction = 'click' GROUP BY 1),
        j AS (SELECT grp, v, w FROM d JOIN g USING (d)), k AS (SELECT grp, v, w, rank() OVER (PARTITION BY grp ORDER BY v) + (count(*) OVER (PARTITION BY grp, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY grp ORDER BY w) + (count(*) OVER (PARTITION BY grp, w) - 1) / 2.0 AS rw FROM j)
        SELECT grp, count(*) AS n, round(corr(v, w), 4) AS pearson, round(corr(rv, rw), 4) AS spearman FROM k GROUP BY grp HAVING count(*) > 5""",
@@ -232,12 +232,12 @@ def wavelet_power_full(s: DataFrame) -> DataFrame:
     "psi_series",
 )
 def well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
-    return _well_correlation(sites.where("grp % 5 = 0"), p, s)
+    return _well_correlation(sites, p, s, salt=4)
 
 
 @query("well_correlation_all", None, "sites", "psi_points", "psi_series")
 def well_correlation_all(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
-    """well_correlation of every site."""
+    """well_correlation, held against brute force instead of SQL."""
     return _well_correlation(sites, p, s, salt=4)
 
 
@@ -256,8 +256,11 @@ def _well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame, salt: int =
 @query(
     "gnss_correlation",
     """WITH a AS (SELECT ps_id, CAST(ts AS DATE) AS d, avg(value) AS v FROM psi_series WHERE direction = 'click' GROUP BY 1, 2), b AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS w FROM psi_series WHERE direction = 'view' GROUP BY 1),
-       g AS (SELECT ps_id, count(*) AS n, corr(v, w) AS r, median(v) AS mv, 2 * stddev_pop(v) AS sv FROM a JOIN b USING (d) GROUP BY ps_id HAVING count(*) > 2)
-       SELECT ps_id, n, round(r, 4) AS r, round(mv, 4) AS median, round(sv, 4) AS spread, CASE WHEN abs(r * sqrt((n - 2) / (1 - r * r))) >= 3.291 THEN 'p<0.001' WHEN abs(r * sqrt((n - 2) / (1 - r * r))) >= 2.576 THEN 'p<0.01' WHEN abs(r * sqrt((n - 2) / (1 - r * r))) >= 1.96 THEN 'p<0.05' ELSE 'n.s.' END AS p FROM g""",
+       g AS (SELECT ps_id, count(*) AS n, corr(v, w) AS r, median(v) AS mv, 2 * stddev_pop(v) AS sv FROM a JOIN b USING (d) GROUP BY ps_id HAVING count(*) > 2),
+       -- the tail of Student's t for whole degrees of freedom v: cos2 is 1 - r * r, sine is r; terms by gamma functions
+       q AS (SELECT *, 1 - CASE WHEN n % 2 = 1 THEN 2 / pi() * (asin(abs(r)) + CASE WHEN n > 3 THEN abs(r) * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + ln(pi()) / 2 - ln(2)) * (1 - r * r) ** k)), 0) ELSE 0 END)
+             ELSE abs(r) * coalesce(list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) - ln(pi()) / 2) * (1 - r * r) ** k)), 0) END AS p FROM g)
+       SELECT ps_id, n, round(r, 4) AS r, round(mv, 4) AS median, round(sv, 4) AS spread, CASE WHEN r IS NULL THEN NULL WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' ELSE 'n.s.' END AS p FROM q""",
     "psi_series",
 )
 def gnss_correlation(s: DataFrame) -> DataFrame:
@@ -267,4 +270,4 @@ def gnss_correlation(s: DataFrame) -> DataFrame:
     a = s.where("direction = 'click'").groupBy("ps_id", day).agg(F.avg("value").alias("v"))
     b = s.where("direction = 'view'").groupBy(day).agg(F.avg("value").alias("w"))
     g = a.join(b, "d").groupBy("ps_id").agg(F.count("*").alias("n"), F.corr("v", "w").alias("r"), F.median("v").alias("mv"), (2 * F.stddev_pop("v")).alias("sv")).where("n > 2")
-    return g.select("ps_id", "n", r4(c("r"), "r"), r4(c("mv"), "median"), r4(c("sv"), "spread"), p_class(t_statistic(c("r"), c("n"))).alias("p"))
+    return g.select("ps_id", "n", r4(c("r"), "r"), r4(c("mv"), "median"), r4(c("sv"), "spread"), p_class(t_statistic(c("r"), c("n")), c("n")).alias("p"))
