@@ -1,8 +1,8 @@
 """Secret scanning with a trigram index, on DataFrame functions alone.
 
 Every rule's regular expression gives a Boolean query of trigrams that any match must hold (ANDs of ORs, derived from the
-expression's own parse). A document block's postings say for each trigram which of its documents hold it; they are kept where the documents
-are, as one bit column per trigram, so that intersecting postings moves no text. Only documents left by a rule's query are
+expression's own parse). The inverted index is a table of postings (trigram, document) for the trigrams that the rules ask for; joined with the
+queries and counted by document, postings intersect without texts. Only documents left by a rule's query are
 verified with its expression; a rule without a mandatory trigram scans all.
 
 Places are counted in code points: the pieces between matches and the matches themselves add up to the text.
@@ -11,12 +11,13 @@ Places are counted in code points: the pieces between matches and the matches th
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from displace.session import materialize
+
 #: The rules. The first three are the base; group is what counts for least. A run of at least n characters is asked for in the
 #: expression itself where no shorter match could hide another one: the common case, short runs of hex letters, then never leaves the
 #: regular expression engine.
@@ -133,31 +134,52 @@ def _spans(text: str, rule: Rule) -> Column:
 NOTHING = "array<struct<start:int,kind:string,end:int>>"
 
 
-def postings(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """The documents with one bit column per trigram of the rules' queries, and the columns' names by trigram."""
-    grams = sorted({g for r in rules for demand in trigram_query(r.pattern) for option in demand for g in option})
-    names = {g: f"_gram{i}" for i, g in enumerate(grams)}
-    low = docs.withColumn("_low", F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    return low.select(*docs.columns, *[F.contains("_low", F.lit(g)).alias(n) for g, n in names.items()]), names
+def _grams(rules: tuple[Rule, ...]) -> list[str]:
+    """All trigrams that the rules' queries name, in order; a posting names one by its place."""
+    return sorted({g for r in rules for demand in trigram_query(r.pattern) for option in demand for g in option})
+
 
+def postings(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """The inverted index of the rules' trigrams: (gram, key) for each of them that a text holds, A-Z lower-cased, once."""
+    low = docs.select(key, F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), i) for i, g in enumerate(_grams(rules))]))
+    return low.select(key, F.explode(held).alias("gram")).repartition(key).distinct().select("gram", key)
 
-def candidate(rule: Rule, names: dict[str, str]) -> Column:
-    """The intersection of a rule's postings."""
-    demands = [reduce(Column.__or__, [reduce(Column.__and__, [F.col(names[g]) for g in sorted(option)]) for option in sorted(demand, key=sorted)]) for demand in sorted(trigram_query(rule.pattern), key=str)]
-    return reduce(Column.__and__, demands) if demands else F.lit(True)
 
+def candidates(index: DataFrame, key: str, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """(key, rules): the rules whose Boolean query a text's postings satisfy. Postings are intersected by keys: an option is met where all its trigrams
+    are posted, a demand where one of its options is, a rule where all its demands are. One exchange by key, so a trigram that every text
+    holds is in no task as a whole."""
+    at = {g: i for i, g in enumerate(_grams(rules))}
+    plan = [(at[g], i, d, o, len(option)) for i, r in enumerate(rules) for d, demand in enumerate(sorted(trigram_query(r.pattern), key=str)) for o, option in enumerate(sorted(demand, key=sorted)) for g in sorted(option)]
+    demands = [(i, len(trigram_query(r.pattern))) for i, r in enumerate(rules) if trigram_query(r.pattern)]
+    spark = index.sparkSession
+    asked = F.broadcast(spark.createDataFrame(plan, "gram int, rule int, demand int, option int, grams int"))  # as many rows as the rules have trigrams
+    needs = F.broadcast(spark.createDataFrame(demands, "rule int, demands int"))
+    options = index.repartition(key).join(asked, "gram").groupBy(key, "rule", "demand", "option", "grams").count().where("count = grams")
+    met = options.select(key, "rule", "demand").distinct().groupBy(key, "rule").count().join(needs, "rule").where("count = demands")
+    return met.groupBy(key).agg(F.collect_list("rule").alias("rules"))
 
-def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+
+def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id") -> DataFrame:
     """docs with `secrets`, an array of (start, kind, end) by start and then in the rules' order: leftmost non-overlapping matches per rule, those
-    whose counted group is shorter than the rule's least dropped. Null and empty texts have none; rows and other columns stay as they are.
+    whose counted group is shorter than the rule's least dropped. Null and empty texts have none; rows and other columns stay as they are, whatever their names
+    (a column `secrets` is replaced); repeated rows have the same secrets; an empty table gives no rows.
+
+    The index of the rules' trigrams is written to the shared folder. A text is known in it by a hash of id and text: equal hashes only add candidates,
+    and every candidate is verified by the rule's expression. Rules without a mandatory trigram scan all texts.
     """
-    own = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    held, names = postings(own, "_text", rules)
-    spans = [F.when(candidate(r, names), _spans("_text", r)).otherwise(F.array().cast(NOTHING)) for r in rules]
+    passed = [c for c in docs.columns if c != "secrets"]
+    known = [F.col(id_col)] if id_col in docs.columns else []
+    own = docs.select(F.struct(*passed).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(*known, text).alias("_key"))
+    index = materialize(postings(own, "_key", "_text", rules), "trigrams")
+    held = own.join(candidates(index, "_key", rules), "_key", "left")
+    asked = lambda i, r: F.array_contains("rules", F.lit(i)) if trigram_query(r.pattern) else F.lit(True)
+    spans = [F.when(asked(i, r), _spans("_text", r)).otherwise(F.array().cast(NOTHING)) for i, r in enumerate(rules)]
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     found = held.withColumn("_found", F.concat(*spans))
     ranked = F.array_sort(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return found.withColumn("secrets", F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))).select(*docs.columns, "secrets")
+    return found.select("_row.*", F.transform(ranked, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).alias("secrets"))
 
 
 def redact(found: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:

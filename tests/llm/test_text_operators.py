@@ -425,6 +425,20 @@ def test_secrets_equal_brute_force(spark):
     assert redacted[1] is None and redacted[5] == "x" * 5000 + "[secret]" and redacted[6] == "[secret] abc"
 
 
+def test_postings_intersect(spark, empty):
+    rules = (secrets.Rule("one", "(abc|abd)xyz"), secrets.Rule("two", "xyz[0-9]+secret"), secrets.Rule("any", "[0-9]+"))
+    rows = [(1, "abcxyz"), (2, "abd, cxy xyz"), (3, "ABDXYZ1SECRET"), (4, "xyz secret"), (5, "nothing"), (6, ""), (3, "ABDXYZ1SECRET")]
+    own = spark.createDataFrame(rows, "k long, t string")
+    index = secrets.postings(own, "k", "t", rules)
+    names = secrets._grams(rules)
+    assert sorted((names[r.gram], r.k) for r in index.collect()) == sorted({(g, k) for k, t in rows for g in names if g in t.lower()})
+    assert {r.k: sorted(r.rules) for r in secrets.candidates(index, "k", rules).collect()} == {1: [0], 3: [0, 1], 4: [1]}
+    assert secrets.find_secrets(empty).collect() == []
+    clash = spark.createDataFrame([(1, "token=abcdefgh", "r", "k", "s"), (None, "token=abcdefgh", None, None, None)], "doc_id long, text string, rules string, _key string, secrets string")
+    got = secrets.find_secrets(clash).collect()
+    assert got[0].__fields__ == ["doc_id", "text", "rules", "_key", "secrets"] and all([tuple(x) for x in r.secrets] == [(0, "assign", 14)] for r in got)
+
+
 # pieces
 
 
