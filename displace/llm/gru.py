@@ -18,6 +18,7 @@ class Gru:
         self.n_words, self.per_class, self.n_tails, self.hidden = n_words, per_class, n_tails, hidden
         self.n_classes = n_words // per_class + n_tails
         self.p = params
+        self.speed: dict | None = None
 
     def start(self, word_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
@@ -36,17 +37,26 @@ class Gru:
         self.p["class_b"] -= self.p["class_b"].max()
         self.p["word_b"] -= self.p["word_b"].max(1, keepdims=True)
 
-    def pack(self) -> np.ndarray:
-        return np.concatenate([self.p[n].ravel() for n in NAMES])
+    def pack(self, speed: bool = False) -> np.ndarray:
+        """All parameters as one vector; with `speed` followed by AdaGrad's sums."""
+        return np.concatenate([d[n].ravel() for d in ((self.p, self._sums()) if speed else (self.p,)) for n in NAMES])
 
     def unpack(self, flat: np.ndarray) -> None:
         h, n = self.hidden, self.n_words // self.per_class
         shapes = {"table": (self.n_words + self.n_tails, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "class_w": (h, self.n_classes), "class_b": (self.n_classes,), "word_w": (n, h, self.per_class), "word_b": (n, self.per_class)}
-        self.p, at = {}, 0
-        for k in NAMES:
-            size = int(np.prod(shapes[k]))
-            self.p[k] = flat[at : at + size].reshape(shapes[k]).astype(np.float32)
-            at += size
+        parts, at = [], 0
+        while at < len(flat):
+            parts.append({})
+            for k in NAMES:
+                size = int(np.prod(shapes[k]))
+                parts[-1][k] = flat[at : at + size].reshape(shapes[k]).astype(np.float32)
+                at += size
+        self.p, self.speed = parts[0], parts[1] if len(parts) > 1 else None
+
+    def _sums(self) -> dict:
+        if self.speed is None:
+            self.speed = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
+        return self.speed
 
     def class_of(self, token: np.ndarray) -> np.ndarray:
         n = self.n_words // self.per_class
@@ -161,20 +171,19 @@ class Gru:
 
     def train(self, tokens: np.ndarray, fresh: np.ndarray, window: int, rate: float = 0.05) -> float:
         """One pass over a stream of texts laid side by side in parallel lanes; the state is carried from window to window.
-        Every token is a target once: the lanes are filled up behind the last one, with steps that do not count."""
+        Every token is a target once: the lanes are filled up behind the last one, with steps that do not count. A lane that starts inside a text starts with
+        that text's last token and no state. AdaGrad's sums go on from what the model holds."""
         if not len(tokens):
             return 0.0
         lanes = int(min(256, max(4, len(tokens) // 2048)))
         length = -(-len(tokens) // lanes)
         filled = lambda v: np.concatenate([v, np.zeros(lanes * length - len(v), v.dtype)]).reshape(lanes, length).T
         grid, start, real = filled(tokens), filled(fresh).copy(), filled(np.ones(len(tokens), bool))
-        start[0] = True
         # the input at a step is the token before; a text's first input is the end of the one before
-        inputs = np.zeros_like(grid)
-        inputs[1:] = grid[:-1]
-        inputs[start] = 0
+        inputs = filled(np.concatenate([[0], tokens[:-1]]))
+        inputs = np.where(start, 0, inputs)
         h = np.zeros((lanes, self.hidden), np.float32)
-        speed = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
+        speed = self._sums()
         logp = []
         for a in range(0, length, window):
             g, h, lp = self.gradient(inputs[a : a + window], start[a : a + window], grid[a : a + window], h, real[a : a + window])

@@ -4,7 +4,7 @@
    training counts, the bucket answers with the corpus's counts. No bucket gets a word more than once per group.
 2. Encoding. Each text becomes 16-bit tokens (frequent words, or a class of the rarer ones by their last bytes) with its unigram
    base score; the encoded table goes to the shared folder.
-3. Training. `rounds` slices of the training texts, together all of them, each once: every task runs truncated
+3. Training. `rounds` slices of the training texts, together all of them, each once: every group runs truncated
    backpropagation over its texts from the round's shared parameters, and the results are averaged by tokens.
 4. Scoring. Every text is read from its first token to its end, the state carried across windows.
 """
@@ -146,7 +146,7 @@ def encode(texts: pa.Table, told: pa.Table, buckets: int, n_words: int, n_tails:
     every[np.arange(len(owner)) + owner] = np.concatenate(codes) if codes else 0
     cuts = (np.concatenate([[0], np.cumsum(size + 1)]) * 2).astype(np.int64)
     tokens = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(every.tobytes())]).cast(pa.binary())
-    columns = [texts["id"], texts["held_out"], size + 1, known + (count[0] > 0), np.full(n, vocabulary.total), score + base[0], left, tokens]
+    columns = [texts["g"], texts["id"], texts["held_out"], size + 1, known + (count[0] > 0), np.full(n, vocabulary.total), score + base[0], left, tokens]
     return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=schema.names).cast(schema)
 
 
@@ -164,8 +164,8 @@ def encode_corpus(docs: DataFrame, text: str, id_col: str, groups: int, buckets:
     tails = summary.where("h is null").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).select(F.lit(0).cast("long").alias("h"), "n", "v", "cls", F.lit(True).alias("total"))
     vocabulary = top.unionByName(tails).groupBy().applyInArrow(_blob, "data binary")  # n_words + n_tails rows at most
     every = spark.range(groups).select(F.col("id").cast("int").alias("g"), F.lit(-1).alias("b"), vocabulary.scalar().alias("data"))
-    schema = pa.schema([("id", texts_type(docs.schema[id_col].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("tail_score", pa.float64()), ("tokens", pa.binary())])
-    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, tail_score double, tokens binary"
+    schema = pa.schema([("g", pa.int32()), ("id", texts_type(docs.schema[id_col].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("tail_score", pa.float64()), ("tokens", pa.binary())])
+    kinds = f"g int, id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, tail_score double, tokens binary"
     return own.groupBy("g").cogroup(answers.unionByName(every).groupBy("g")).applyInArrow(lambda a, b: encode(a, b, buckets, n_words, n_tails, schema), kinds)
 
 
@@ -203,19 +203,35 @@ def _token_counts(encoded: DataFrame, size: int) -> np.ndarray:
 
 
 def train(encoded: DataFrame, model: Gru, rounds: int, window: int, rate: float) -> None:
-    """One pass over all training texts in `rounds` slices, with averaging after each."""
+    """One pass over all training texts in `rounds` slices. In each, every group (g) of texts trains a copy of the round's model, in the order of a hash of their
+    ids; the copies are averaged by tokens, AdaGrad's sums too. Groups follow the corpus alone, so partitions do not change the model but for
+    the order of sums."""
     shape = (model.n_words, model.per_class, model.n_tails, model.hidden)
 
     def fit(batches, start):
-        own, weight = Gru(*shape), 0
-        own.unpack(start)
-        for _, _, _, tokens, offsets in _streams(batches, 1 << 20):
+        held, now = [], None
+
+        def trained():
+            tokens = np.concatenate([t for t, _ in held])
+            fresh = np.concatenate([f for _, f in held])
+            own = Gru(*shape)
+            own.unpack(start)
+            own.train(tokens, fresh, window, rate)
+            return pa.RecordBatch.from_pydict({"s": pa.array([now % 32], pa.int32()), "weight": pa.array([float(len(tokens))]), "params": pa.array([(own.pack(True).astype("<f8") * len(tokens)).tobytes()], pa.binary())})
+
+        for batch, i, j, tokens, offsets in _streams(batches, 1 << 20):
+            g = batch.column(0).to_numpy()[i:j]
             fresh = np.zeros(len(tokens), bool)
             fresh[offsets[:-1]] = True
-            own.train(tokens, fresh, window, rate)
-            weight += len(tokens)
-        if weight:
-            yield pa.RecordBatch.from_pydict({"weight": pa.array([float(weight)]), "params": pa.array([(own.pack().astype("<f8") * weight).tobytes()], pa.binary())})
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and g[a] != now:
+                    yield trained()
+                    held.clear()
+                now = int(g[a])
+                held.append((tokens[offsets[a] : offsets[b]], fresh[offsets[a] : offsets[b]]))
+        if held:
+            yield trained()
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(len(rows["params"][0].as_buffer()) // 8)
@@ -224,15 +240,16 @@ def train(encoded: DataFrame, model: Gru, rounds: int, window: int, rate: float)
         return pa.table({"weight": pa.array([float(sum(rows["weight"].to_pylist()))]), "params": pa.array([total.tobytes()], pa.binary())})
 
     for r in range(rounds):
-        start = model.pack()
-        own = encoded.where(F.pmod(F.xxhash64("id", "n_tokens"), F.lit(rounds)) == r).select("tokens")
-        fitted = own.mapInArrow(lambda batches, start=start: fit(batches, start), "weight double, params binary")
-        sums = fitted.withColumn("s", F.spark_partition_id() % 32).groupBy("s").applyInArrow(lambda t: add(t.drop_columns(["s"])), "weight double, params binary").collect()  # 32 rows at most
+        start = model.pack(True)
+        own = encoded.where(F.pmod(F.xxhash64("id", "n_tokens"), F.lit(rounds)) == r).select("g", "tokens", F.xxhash64("n_tokens", "id", "base_score").alias("k"))
+        dealt = own.repartition("g").sortWithinPartitions("g", "k").select("g", "tokens")
+        fitted = dealt.mapInArrow(lambda batches, start=start: fit(batches, start), "s int, weight double, params binary")
+        sums = fitted.groupBy("s").applyInArrow(lambda t: add(t.drop_columns(["s"])), "weight double, params binary").collect()  # 32 rows at most
         if sums:
             model.unpack(sum(np.frombuffer(s.params, "<f8") for s in sums) / sum(s.weight for s in sums))
 
 
-def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n_words: int = 512, per_class: int = 32, n_tails: int = 16, hidden: int = 8, rounds: int = 4, window: int = 16, rate: float = 0.05, folds: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n_words: int = 1024, per_class: int = 32, n_tails: int = 16, hidden: int = 16, rounds: int = 4, window: int = 16, rate: float = 0.2, folds: int = 10, group_bytes: int = 16 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of whole texts under an add-0.1
     unigram model and under a gated recurrent model, both learnt from the rows whose crc32(id) is not 0 modulo `folds`.
 
@@ -241,7 +258,9 @@ def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n_w
     without training rows a score under uniform counts.
     """
     spark = docs.sparkSession
-    encoded = materialize(encode_corpus(docs, text, id_col, 2 * n_partitions(spark), n_partitions(spark), n_words, n_tails, folds), "lm")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    groups = max(8, -(-size // group_bytes))
+    encoded = materialize(encode_corpus(docs, text, id_col, groups, n_partitions(spark), n_words, n_tails, folds), "lm")
     model = Gru(n_words, per_class, n_tails, hidden)
     counts = _token_counts(encoded.where("not held_out"), n_words + n_tails)
     model.start(counts[:n_words], counts[n_words:])
