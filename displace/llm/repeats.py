@@ -126,6 +126,14 @@ def ask_phrases(texts: pa.Table, buckets: int, length: int, gram: int) -> pa.Tab
     return table({"b": b, "g": [g] * len(b), "data": data}, packed("b", "g"))
 
 
+def _answers(out: np.ndarray, who: np.ndarray, kind: int) -> pa.Table:
+    """One row of `out` records per asking group."""
+    order = np.argsort(who, kind="stable")
+    names, first = np.unique(who[order], return_index=True)
+    data = [p.tobytes() for p in np.split(out[order], first[1:])] if len(names) else []
+    return table({"g": names, "b": np.full(len(names), kind), "data": data}, packed("g", "b"))
+
+
 def answer_phrases(rows: pa.Table) -> pa.Table:
     groups = rows["g"].to_numpy()
     parts = [np.frombuffer(d.as_buffer(), ASK) for d in rows["data"]]
@@ -146,9 +154,7 @@ def answer_phrases(rows: pa.Table) -> pa.Table:
     send = status > 0
     out = np.zeros(int(send.sum()), TOLD)
     out["k"], out["x"], out["status"] = ask["k"][send], ask["x"][send], status[send]
-    who = who[send]
-    names = np.unique(who)
-    return table({"g": names, "b": np.zeros(len(names), int), "data": [out[who == n].tobytes() for n in names]}, packed("g", "b"))
+    return _answers(out, who[send], 0)
 
 
 class Lookup:
@@ -221,9 +227,7 @@ def answer_suffixes(rows: pa.Table) -> pa.Table:
     again = (np.bincount(name, np.where(ask["many"] > 0, 2, 1)) > 1)[name]
     out = np.zeros(int(again.sum()), HIT)
     out["h"], out["g"] = ask["h"][again], ask["g"][again]
-    who = who[again]
-    names = np.unique(who)
-    return table({"g": names, "b": np.ones(len(names), int), "data": [out[who == n].tobytes() for n in names]}, packed("g", "b"))
+    return _answers(out, who[again], 1)
 
 
 def _hits(h, g, hit: np.ndarray) -> np.ndarray:
@@ -285,7 +289,7 @@ def cut(texts: pa.Table, told: pa.Table, length: int, gram: int, passed: list[st
     return pa.table(dict(zip(schema.names, columns, strict=True))).cast(schema)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 200, gram: int = 64, groups: int | None = None, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 200, gram: int = 64, groups: int | None = None, buckets: int | None = None, group_bytes: int = 64 << 20) -> DataFrame:
     """(id, n_bytes, spans, kept): each text's bytes without those covered by a `length`-byte string that also starts
     elsewhere in the corpus, same text included. spans lists the removed runs, kept holds the other bytes.
 
@@ -293,7 +297,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     is an empty one, a null id is passed on, other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    groups, buckets = groups or 2 * n_partitions(spark), buckets or n_partitions(spark)
+    if groups is None:  # a group's texts are in memory together
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+        groups = max(2 * n_partitions(spark), -(-size // group_bytes))
+    buckets = buckets or n_partitions(spark)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     own = own.withColumn("g", F.pmod(F.xxhash64("id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups)).cast("int"))
     id_type = docs.schema[id_col].dataType
