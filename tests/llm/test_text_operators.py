@@ -167,6 +167,45 @@ def test_base_scores_and_model(docs, texts, empty):
     assert language_model.score_texts(empty).collect() == []
 
 
+def test_scores_equal_a_loop_over_tokens(monkeypatch, docs, texts):
+    """The trained model's score of every text, token by token in plain Python: gates, class, word, and the tail's own unigram."""
+    kept = {}
+    train = language_model.train
+
+    def spy(encoded, model, *more):
+        train(encoded, model, *more)
+        kept["p"] = {k: v.astype(float) for k, v in model.p.items()}
+
+    monkeypatch.setattr(language_model, "train", spy)
+    sizes = dict(n_words=32, per_class=8, n_tails=4, hidden=5)
+    encoded = language_model.materialize
+    monkeypatch.setattr(language_model, "materialize", lambda df, name: kept.setdefault("encoded", encoded(df, name)))
+    got = {(r.doc_id, r.n_tokens): r.score for r in language_model.score_texts(docs, rounds=2, **sizes).collect()}
+    p, k = kept["p"], 5
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: v - np.log(np.exp(v - v.max()).sum()) - v.max()
+    for r in kept["encoded"].collect():
+        h, before, total = np.zeros(k), 0, 0.0
+        for t in np.frombuffer(r.tokens, "<u2").tolist():
+            x = p["table"][before] + p["b"]
+            z, q = sig(x[:k] + h @ p["u"][:, :k]), sig(x[k : 2 * k] + h @ p["u"][:, k : 2 * k])
+            n = np.tanh(x[2 * k :] + q * (h @ p["u"][:, 2 * k :]))
+            h = n + z * (h - n)
+            cls = t // 8 if t < 32 else 4 + t - 32
+            total += soft(h @ p["class_w"] + p["class_b"])[cls]
+            if t < 32:
+                total += soft(h @ p["word_w"][cls] + p["word_b"][cls])[t % 8]
+            before = t
+        assert math.isclose(got[r.id, r.n_tokens], total / math.log(10) + r.tail_score, rel_tol=1e-4), r.id
+
+
+def test_partitions_do_not_change_the_model(spark, docs):
+    sizes = dict(n_words=32, per_class=8, n_tails=4, hidden=5, rounds=2, group_bytes=4000)
+    few = {(r.doc_id, r.n_tokens): r.score for r in language_model.score_texts(docs.repartition(2), **sizes).collect()}
+    many = {(r.doc_id, r.n_tokens): r.score for r in language_model.score_texts(docs.repartition(9), **sizes).collect()}
+    assert few.keys() == many.keys() and all(math.isclose(few[k], many[k], rel_tol=1e-4) for k in few)
+
+
 def test_untrained_model_is_unigram_and_gradient_is_right():
     rng = np.random.default_rng(1)
     m = gru.Gru(8, 4, 3, 3)
