@@ -249,7 +249,7 @@ def train(encoded: DataFrame, model: Gru, rounds: int, window: int, rate: float)
             model.unpack(sum(np.frombuffer(s.params, "<f8") for s in sums) / sum(s.weight for s in sums))
 
 
-def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n_words: int = 1024, per_class: int = 32, n_tails: int = 16, hidden: int = 16, rounds: int = 4, window: int = 16, rate: float = 0.2, folds: int = 10, group_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, text: str = "text", id_col: str = "doc_id", n_words: int = 512, per_class: int = 32, n_tails: int = 16, hidden: int = 16, rounds: int = 4, window: int = 16, rate: float = 0.2, folds: int = 10, group_bytes: int = 16 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of whole texts under an add-0.1
     unigram model and under a gated recurrent model, both learnt from the rows whose crc32(id) is not 0 modulo `folds`.
 
