@@ -163,3 +163,47 @@ def test_adaptive_split_fits(spark):
 @pytest.mark.parametrize("half", [[0.5, 1.0], [-1.0, 0.5, 0.0]])
 def test_levels_are_mirrored(half):
     assert raster.plus_minus(half) == [-1.0, -0.5, 0.5, 1.0]
+
+
+def test_p_values_are_student_s(spark):
+    from displace.operators.aggregates import p_class, p_value
+
+    # fixed values: two-sided p of t at n, from published tables (t, n, p)
+    known = [(12.706, 3, 0.05), (4.303, 4, 0.05), (3.182, 5, 0.05), (2.306, 10, 0.05), (3.355, 10, 0.01), (2.262, 11, 0.05), (2.042, 32, 0.05), (1.984, 102, 0.05), (5.041, 10, 0.001), (0.0, 7, 1.0)]
+    rows = spark.createDataFrame([*known, (1.0, 2, None), (None, 9, None)], "t double, n long, p double").select("p", p_value(F.col("t"), F.col("n")).alias("got")).collect()
+    assert all((r.got is None) == (r.p is None) and (r.p is None or abs(r.got - r.p) < 0.0005 * max(1, 20 * r.p)) for r in rows)
+    said = spark.createDataFrame([(2.1, 10), (2.4, 10), (-6.0, 10), (None, 10)], "t double, n long").select(p_class(F.col("t"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in said] == ["n.s.", "p<0.05", "p<0.001", None]
+
+
+def test_knn_of_nulls_far_points_and_nothing(spark):
+    from displace.operators.joins import knn
+
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0), (3, 2000.0, 0.0), (4, 10.0, 0.0)], "id int, x double, y double")
+    sources = spark.createDataFrame([(7, 1.0, 0.0), (8, 11.0, 0.0), (9, None, 0.0), (6, -1.0, 0.0)], "sid int, sx double, sy double")
+    got = sorted((r.id, r.rank, r.sid, r.dist) for r in knn(points, sources, 2, 5.0, "id").collect())
+    assert got == [(1, 1, 6, 1.0), (1, 2, 7, 1.0), (3, 1, 8, 1989.0), (3, 2, 7, 1999.0), (4, 1, 8, 1.0), (4, 2, 7, 9.0)]
+    assert knn(points, sources.limit(0), 2, 5.0, "id").collect() == []
+    assert knn(points, sources, 5, 5.0, "id").count() == 9  # fewer sources than asked for: all of them
+    with pytest.raises(ValueError):
+        knn(points, sources, 2, 5.0, "id", rounds=3)
+
+
+def test_distances_by_edges_on_rings_that_are_no_squares(spark):
+    import math as m
+
+    from displace.operators import geom
+
+    ring = [(0.0, 0.0), (7.0, 1.0), (9.0, 6.0), (4.0, 4.0), (1.0, 8.0)]
+    rows = [(float(x) / 2, float(y) / 2) for x in range(-4, 24) for y in range(-4, 22)]
+    text = "array(" + ", ".join(f"struct(double({x}) as x, double({y}) as y)" for x, y in ring) + ")"
+    df = spark.createDataFrame(rows, "x double, y double").withColumn("ring", F.expr(text))
+    got = df.select("x", "y", geom.distance_by_edges(geom.ring_edges(F.col("ring")), F.col("x"), F.col("y")).alias("d")).collect()
+    for r in got:
+        odd, best = False, m.inf
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+            if (ay > r.y) != (by > r.y) and r.x < (bx - ax) * (r.y - ay) / (by - ay) + ax:
+                odd = not odd
+            t = max(0.0, min(1.0, ((r.x - ax) * (bx - ax) + (r.y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            best = min(best, m.hypot(ax + t * (bx - ax) - r.x, ay + t * (by - ay) - r.y))
+        assert abs(r.d - (0.0 if odd else best)) < 1e-8
