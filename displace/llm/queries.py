@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
-    write_warc(plan_revisits(_table(spark, sf_dir, "pages")), path)
+    write_warc(plan_revisits(_table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
     return resolve_revisits(read_warc(spark, path))
 
 

@@ -20,6 +20,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from displace.session import materialize
+
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 HEAD = 1 << 16
@@ -30,11 +32,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def plan_revisits(pages: DataFrame, payload: str = "html", id_col: str = "page_id", least: int = 1000) -> DataFrame:
     """The pages with payload (binary), digest (hex SHA-1) and refers_to: of records with equal payloads of at least `least` bytes the
     one with the largest id is the response (refers_to null), the others revisit it."""
-    own = pages.withColumn("payload", F.coalesce(F.col(payload).cast("binary"), F.lit(b""))).withColumn("digest", F.sha1("payload"))
+    own = pages.drop("_last").withColumn("payload", F.coalesce(F.col(payload).cast("binary"), F.lit(b""))).withColumn("digest", F.sha1("payload"))
     # partial aggregation: one row per digest and task; only digests seen twice go on
-    last = own.where(F.length("payload") >= least).groupBy("digest").agg(F.max(id_col).alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    last = own.where(F.length("payload") >= least).groupBy("digest").agg(F.max(id_col).alias("_last"), F.count("*").alias("n")).where("n > 1").select("digest", "_last")
     joined = own.join(last, "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col(id_col) < F.col("last"), F.col("last"))).drop("last")
+    return joined.withColumn("refers_to", F.when(F.col(id_col) < F.col("_last"), F.col("_last"))).drop("_last")
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -202,8 +204,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve_revisits(found: DataFrame) -> DataFrame:
-    """Per page record: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is its response's."""
+    """Per page record: page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is its response's (of several responses with that id the
+    largest). Archives are read once, into a table of records; revisits alone are joined."""
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
     own = found.select(number("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_sha1", "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to").cast("long")).alias("refers_to"))
-    full = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_sha1").alias("full_sha1"))
-    return own.join(full, "refers_to", "left").select("page_id", F.coalesce("full_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("full_sha1", "payload_sha1").alias("payload_digest"), "record_type", "refers_to")
+    own = materialize(own, "records")
+    plain = own.where("refers_to is null").select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to")
+    full = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_bytes", "payload_sha1")).alias("full"))
+    told = own.where("refers_to is not null").join(full, "refers_to", "left")
+    return plain.unionByName(told.select("page_id", F.coalesce("full.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("full.payload_sha1", "payload_sha1").alias("payload_digest"), "record_type", "refers_to"))

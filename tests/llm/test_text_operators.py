@@ -532,6 +532,17 @@ def test_archives_round_trip(spark, tmp_path):
         assert got == want
 
 
+def test_archives_of_clashing_columns_repeated_ids_and_nothing(spark, tmp_path):
+    big = "b" * 1500
+    rows = [(1, "u", big, 7, "d"), (2, "u", big, 8, "d"), (2, "u", big, 9, "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, last int, full string")
+    for name, own, want in (("a", pages, [(1, 1500, 2), (2, 1500, None), (2, 1500, None)]), ("b", pages.limit(0), [])):
+        path = f"file://{tmp_path}/{name}"
+        warc.write_warc(warc.plan_revisits(own), path)
+        got = warc.resolve_revisits(warc.read_warc(spark, path)).collect()
+        assert sorted(((r.page_id, r.payload_bytes, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_foreign_bytes_between_records(spark, tmp_path):
     import gzip
 
