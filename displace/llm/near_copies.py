@@ -2,8 +2,8 @@
 
 Fingerprints of 256 bits (four SimHash words) are compared exactly in tiles, as in simhash.py: by exclusive-or and bit counts, first on
 one word, then on all. Similar sets have similar sizes, so only tiles of the same or the next class of sizes (classes 1 / similarity apart) meet.
-The radius lies four standard deviations beyond the distance expected at the asked similarity and far from that of
-unrelated texts. What tiles report are forests, whose components are candidate groups; in a second pass the shingle sets of a
+The radius lies 4.5 standard deviations beyond the distance expected at the asked similarity (exactly, by the number of shingles, for short
+texts) and far from that of unrelated texts. What tiles report are forests, whose components are candidate groups; in a second pass the shingle sets of a
 group's texts are compared themselves, again in tiles, and only links of at least the asked similarity count.
 
 The comparison in tiles is exact and so quadratic within a class of sizes, in 32 bytes a distinct text; see README.
@@ -12,6 +12,7 @@ The comparison in tiles is exact and so quadratic within a class of sizes, in 32
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,32 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
-def expected_distance(similarity: float, bits: int) -> tuple[float, float]:
-    """Mean and standard deviation of the differing bits of two sets of a similarity."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return bits * p, float(np.sqrt(bits * p * (1 - p)))
+def bit_differs(only_a: int, only_b: int, both: int) -> float:
+    """How likely a bit of the fingerprints of two sets differs, by the number of shingles that one or both hold. Ties are zero bits."""
+
+    def above(free: int) -> np.ndarray:
+        """Chance that over half of a set's bits are ones, by the number of ones among those in common."""
+        tail = np.cumsum([comb(free, k) for k in range(free, -1, -1)])[::-1] / 2.0**free
+        need = (free + both) // 2 + 1 - np.arange(both + 1)
+        return np.where(need <= 0, 1.0, np.where(need > free, 0.0, tail[np.clip(need, 0, free)]))
+
+    a, b = above(only_a), above(only_b)
+    return float((np.array([comb(both, k) for k in range(both + 1)]) / 2.0**both * (a + b - 2 * a * b)).sum())
+
+
+def radii(similarity: float, bits: int, exact: int = 48) -> np.ndarray:
+    """The radius by the number of shingles: the greatest expected distance of a set of that size from one of at least that similarity, and
+    4.5 standard deviations. The last entry holds for all larger sets: it is the greatest of the last sizes, and the expected distance shrinks
+    towards the angle between the sets."""
+    p = np.zeros(exact + 1)
+    for n in range(1, exact + 1):
+        for a in range(n):
+            b = 0
+            while n - a >= similarity * (n + b) - 1e-9:
+                p[n] = max(p[n], bit_differs(a, b, n - a))
+                b += 1
+    p[exact] = max(p[-exact // 4 :].max(), float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    return (bits * p + 4.5 * np.sqrt(bits * p * (1 - p))).astype(np.int64)
 
 
 def _forest(x: np.ndarray, start: np.ndarray, near) -> tuple[list[int], list[int]]:
@@ -104,10 +127,7 @@ def _structs(b: Column, n: Column) -> Column:
 
 def candidate_links(prints: DataFrame, similarity: float) -> DataFrame:
     """prints: id, fp (binary), n. (src, dst) of forests over fingerprints within the radius and size classes that can meet."""
-    mean, sd = expected_distance(similarity, 64 * WORDS)
-    radius = int(mean + 4.5 * sd)
-    mean1, sd1 = expected_distance(similarity, 64)
-    first = int(mean1 + 4.5 * sd1)
+    radius, first = radii(similarity, 64 * WORDS), radii(similarity, 64)
     cls = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / float(np.log(1 / similarity))).cast("int")
     rows = prints.withColumn("cls", cls)
     size = rows.groupBy("cls").agg(F.count("*").alias("m")).select("cls", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))  # a row per size class
@@ -118,7 +138,7 @@ def candidate_links(prints: DataFrame, similarity: float) -> DataFrame:
     )
     rows = rows.join(F.broadcast(near), "cls")  # as many rows as classes: the logarithm of the longest text
     other = [(F.xxhash64(F.col("cls") - 1), F.col("low_tiles")), (F.xxhash64(F.col("cls") + 1), F.col("high_tiles"))]
-    dealt = _tile_pairs(rows.select("id", "fp", "cls", "own_tiles", "low_tiles", "high_tiles"), ["cls"], F.col("own_tiles"), other).select("key", "id", "fp")
+    dealt = _tile_pairs(rows.select("id", "fp", "n", "cls", "own_tiles", "low_tiles", "high_tiles"), ["cls"], F.col("own_tiles"), other).select("key", "id", "fp", "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
@@ -126,13 +146,15 @@ def candidate_links(prints: DataFrame, similarity: float) -> DataFrame:
                 continue
             data, _ = text_buffer(t["fp"])
             x = data.copy().view("<u8").reshape(-1, WORDS)
+            n = np.minimum(t["n"].to_numpy(), len(radius) - 1)
             ids = t["id"].combine_chunks()
 
-            def near(i, others, x=x):
-                hit = np.bitwise_count(x[others, 0] ^ x[i, 0]) <= first
+            def near(i, others, x=x, n=n):
+                hit = np.bitwise_count(x[others, 0] ^ x[i, 0]) <= np.maximum(first[n[others]], first[n[i]])
                 some = np.flatnonzero(hit)
                 if len(some):
-                    hit[some] = np.bitwise_count(x[others[some]] ^ x[i]).sum(1) <= radius
+                    own = others[some]
+                    hit[some] = np.bitwise_count(x[own] ^ x[i]).sum(1) <= np.maximum(radius[n[own]], radius[n[i]])
                 return hit
 
             a, b = _forest(x, np.arange(len(x)), near)
@@ -175,7 +197,7 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """(id, group): group is the smallest id reachable over links of at least that similarity, the row's own included; a row for every row
     of docs with an integer id.
 
-    Equal fingerprints are one group. Texts without words (null, empty) are copies of each other. Rows with a null id are left out. Repeated
+    Texts of equal shingle sets are one group. Texts without words (null, empty) are copies of each other. Rows with a null id are left out. Repeated
     ids share a group with either text. An empty table gives an empty result.
     """
     raw = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
@@ -188,14 +210,17 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
                 cuts = offsets[a : a + 513].tolist()
                 own = [shingles(data[i:j], words) for i, j in zip(cuts, cuts[1:], strict=False)]
                 rest = [batch.column(k).slice(a, 512) for k in range(batch.num_columns) if k != 1]
-                value = pa.array([h.tobytes() if sets else wide_fingerprint(h) for h in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rest, value, pa.array([len(h) for h in own], pa.int64())], names=["id", *(["component"] if sets else []), "value", "n"])
-
-    prints = materialize(raw.mapInArrow(lambda b: run(b, False), "id bigint, value binary, n bigint"), "prints")
-    distinct = materialize(prints.groupBy(F.col("value").alias("fp")).agg(F.min("id").alias("id"), F.min("n").alias("n")), "prints-distinct")
+                if sets:
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([h.tobytes() for h in own], pa.binary())], names=["id", "component", "hashes"])
+                else:
+                    name = pa.array([xxhash.xxh128_digest(h.tobytes()) for h in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*rest, name, pa.array([wide_fingerprint(h) for h in own], pa.binary()), pa.array([len(h) for h in own], pa.int64())], names=["id", "same", "fp", "n"])
+
+    prints = materialize(raw.mapInArrow(lambda b: run(b, False), "id bigint, same binary, fp binary, n bigint"), "prints")
+    distinct = materialize(prints.groupBy("same").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")), "prints-distinct")
     groups = materialize(connected_components(candidate_links(distinct, similarity)), "candidates")
     members = raw.join(groups.withColumnRenamed("node", "id"), "id").select("id", "text", "component")
-    sets = members.mapInArrow(lambda b: run(b, True), "id bigint, component bigint, value binary, n bigint").select("id", "component", F.col("value").alias("hashes"))
+    sets = members.mapInArrow(lambda b: run(b, True), "id bigint, component bigint, hashes binary")
     final = connected_components(similar_links(sets, similarity))
-    by_print = distinct.join(final.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("group"))
-    return prints.withColumnRenamed("value", "fp").join(by_print, "fp").groupBy("id").agg(F.min("group").alias("group")).withColumnRenamed("id", id_col)
+    by_set = distinct.join(final.withColumnRenamed("node", "id"), "id", "left").select("same", F.coalesce("component", "id").alias("group"))
+    return prints.join(by_set, "same").groupBy("id").agg(F.min("group").alias("group")).withColumnRenamed("id", id_col)

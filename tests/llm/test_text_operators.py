@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -150,6 +151,37 @@ def test_near_copies_equal_brute_force(docs, texts, sets, monkeypatch):
     assert {r.doc_id: r.group for r in near_copies.near_copy_groups(docs).collect()} == _components(sorted(own), near)
 
 
+@pytest.mark.parametrize("only_a, only_b, both", [(0, 1, 4), (1, 1, 4), (2, 0, 3), (0, 0, 5), (3, 2, 6)])
+def test_bit_differs_equals_every_case(only_a, only_b, both):
+    n = only_a + only_b + both
+    bits = np.array(list(itertools.product((0, 1), repeat=n)))
+    a = 2 * (bits[:, :only_a].sum(1) + bits[:, only_a + only_b :].sum(1)) > only_a + both
+    b = 2 * bits[:, only_a:].sum(1) > only_b + both
+    assert near_copies.bit_differs(only_a, only_b, both) == pytest.approx((a != b).mean())
+
+
+def test_short_texts_of_the_asked_similarity_lie_within_the_radius():
+    """Eight words against nine: 4 of 5 shingles in common, and the fours' ties are zero bits."""
+    radius = near_copies.radii(0.8, 64 * near_copies.WORDS)
+    h = np.random.default_rng(5).integers(0, 2**64, (3000, 5), np.uint64)
+    far = [(int.from_bytes(near_copies.wide_fingerprint(v), "little") ^ int.from_bytes(near_copies.wide_fingerprint(v[:4]), "little")).bit_count() for v in h]
+    assert max(far) <= max(radius[4], radius[5])
+    assert max(far) > radius[-1]  # the radius of long texts would miss some
+    assert (radius[1:4] == 0).all() and radius[-1] < 70
+
+
+def test_near_copies_judge_every_text_by_its_own_shingles(spark):
+    """Many short texts a word apart: whatever share a fingerprint, groups are those of the texts."""
+    rng = np.random.default_rng(6)
+    word = np.array([f"w{i}" for i in range(40)])
+    base = [" ".join(rng.choice(word, n)) for n in (8, 9, 12, 16, 25, 60) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate(base + [t + " more" for t in base] + ["first " + t for t in base] + [t.replace(" ", "  ").upper() for t in base])]
+    own = {i: set(near_copies.shingles(t.encode(), 5).tolist()) for i, t in rows}
+    near = {a: [b for b in own if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])] for a in own}
+    got = near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group for r in got} == _components(sorted(own), near)
+
+
 # language model
 
 
