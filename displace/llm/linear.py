@@ -21,27 +21,38 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def word_features(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(owner text, feature) of every word and of its first (or, below zero, last) few bytes, segment by segment."""
+def word_features(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """For every segment its first text and (owner text, feature) of every word and of its first (or, below zero, last) few bytes."""
     for i, j, begin, end in word_segments(data, offsets):
         inner = np.clip(offsets[i : j + 1], begin, end) - begin
         low, starts, ends, owner = words(data[begin:end], inner)
-        roll = Rolling(low, 0)
-        yield owner + i, bucket(roll.at(starts, ends))
+        roll, owner = Rolling(low, 0), owner + i
+        found = [(owner, bucket(roll.at(starts, ends)))]
         for n in prefixes:
             part = roll.at(starts, np.minimum(ends, starts + n)) if n > 0 else roll.at(np.maximum(starts, ends + n), ends)
-            yield owner + i, bucket(part ^ np.uint64((n << 61) & (2**64 - 1)))
+            found.append((owner, bucket(part ^ np.uint64((n << 61) & (2**64 - 1)))))
+        yield i, found
+
+
+def distinct_pieces(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...], wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (text, wanted feature) pairs in order, a segment of whole texts or one long text at a time: wanted gives each feature's number, or
+    -1. So memory follows a segment, or the distinct features of one text, not the batch."""
+    text, held = -1, np.zeros(0, np.int64)
+    for first, found in word_features(data, offsets, prefixes):
+        keys = [np.unique(owner[n >= 0] * SIZE + n[n >= 0]) for owner, n in ((owner, wanted[f]) for owner, f in found)]
+        own = np.unique(np.concatenate(keys))
+        if first == text:  # a long text goes on
+            held = np.union1d(held, own)
+            continue
+        yield held // SIZE, held % SIZE
+        text, held = first, own
+    yield held // SIZE, held % SIZE
 
 
 def distinct_hits(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, wanted feature) pairs in order: wanted gives each feature's number, or -1."""
-    keys = []
-    for owner, f in word_features(data, offsets, prefixes):
-        n = wanted[f]
-        hit = n >= 0
-        keys.append(np.unique(owner[hit] * SIZE + n[hit]))
-    every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return every // SIZE, every % SIZE
+    """The pairs of all pieces."""
+    owner, f = zip(*distinct_pieces(data, offsets, prefixes, wanted), strict=True)
+    return np.concatenate(owner), np.concatenate(f)
 
 
 def label_sample(labels: DataFrame, label: str, id_col: str, most: int, folds: int, held: int) -> DataFrame:
@@ -76,9 +87,9 @@ def chosen_features(rows: DataFrame, prefixes: tuple[int, ...], n: int, marking:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             label = batch.column(1).to_numpy().astype(np.int64)
-            owner, f = distinct_hits(data, offsets, prefixes, every)
-            for y in (0, 1):
-                total[:, y] += np.bincount(f[label[owner] == y], minlength=SIZE).astype(np.uint32)
+            for owner, f in distinct_pieces(data, offsets, prefixes, every):
+                for y in (0, 1):
+                    total[:, y] += np.bincount(f[label[owner] == y], minlength=SIZE).astype(np.uint32)
         f = np.flatnonzero(total.any(1))
         own = np.zeros(len(f), PIECE)
         own["f"], own["n"] = f, total[f]
@@ -249,8 +260,9 @@ def add_scores(docs: DataFrame, text: str, weights: np.ndarray, chosen: np.ndarr
         numbers = numbering(chosen)
         for batch in batches:
             data, offsets = text_buffer(batch.column(len(names)))
-            owner, f = distinct_hits(data, offsets, prefixes, numbers)
-            z = np.bincount(owner, weights[f], minlength=batch.num_rows) + bias
+            z = np.full(batch.num_rows, bias)
+            for owner, f in distinct_pieces(data, offsets, prefixes, numbers):
+                z += np.bincount(owner, weights[f], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(z)], names=[*names, out])
 
     schema = StructType([*docs.schema.fields]).add(out, DoubleType())

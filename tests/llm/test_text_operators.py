@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -312,6 +313,17 @@ def _labelled(spark, n=400):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*labels, (n + 5, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_features_of_long_texts_are_told_once():
+    texts = ["a b a", "", "word " * 250_000 + "other", "b word", "x" * 1_200_000 + " a", ""]
+    data, offsets = textbytes.text_buffer(pa.array([t.encode() for t in texts], pa.large_binary()))
+    owner, f = linear.distinct_hits(data, offsets, (2,), np.arange(linear.SIZE))
+    alone = [linear.distinct_hits(*textbytes.text_buffer(pa.array([" ".join(sorted(set(t.split()))).encode()], pa.large_binary())), (2,), np.arange(linear.SIZE))[1] for t in texts]
+    assert np.split(f, np.searchsorted(owner, np.arange(1, len(texts))))[2].tolist() == alone[2].tolist()
+    assert owner.tolist() == np.repeat(np.arange(len(texts)), [len(v) for v in alone]).tolist() and f.tolist() == np.concatenate(alone).tolist()
+    none = linear.distinct_hits(*textbytes.text_buffer(pa.array([], pa.large_binary())), (2,), np.arange(linear.SIZE))
+    assert [len(v) for v in none] == [0, 0]
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     docs, labels = _labelled(spark)
     got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
