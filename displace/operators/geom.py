@@ -20,6 +20,12 @@ def xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def point(x: Column, y: Column, z: Column | None = None) -> Column:
+    """A point of coordinate columns, with a height if given. Null where x or y is."""
+    parts = {"x": x, "y": y} | ({} if z is None else {"z": z})
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(*[v.cast("double").alias(k) for k, v in parts.items()]))
+
+
 def box_ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """Closed ring of a box, anticlockwise from its lower left corner."""
     return F.array(xy(minx, miny), xy(maxx, miny), xy(maxx, maxy), xy(minx, maxy), xy(minx, miny))
@@ -221,13 +227,13 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.sin(d) * F.cos(p2), F.cos(p1) * F.sin(p2) - F.sin(p1) * F.cos(p2) * F.cos(d))) + 360, F.lit(360.0))
 
 
-#: Ellipsoids (semi-major axis, flattening), projections (ellipsoid, scale, false easting, central meridian) and shifts to WGS84
-#: (metres, arc seconds, parts per million; position vector).
+#: Ellipsoids (semi-major axis, flattening), projections (ellipsoid, scale, false easting, central meridian; LAEA: ellipsoid, centre)
+#: and shifts to WGS84 (metres, arc seconds, parts per million; position vector).
 WGS84, BESSEL, HAYFORD = (6378137.0, 1 / 298.257223563), (6377397.155, 1 / 299.1528128), (6378388.0, 1 / 297.0)
+LAEA = (WGS84, 52.0, 10.0)
 UTM32, GK3, ED50_UTM32 = (WGS84, 0.9996, 500000.0, 9.0), (BESSEL, 1.0, 3500000.0, 9.0), (HAYFORD, 0.9996, 500000.0, 9.0)
 DHDN = (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)
 ED50 = (-87.0, -98.0, -121.0, 0.0, 0.0, 0.0, 0.0)
-_A, _F = WGS84
 
 
 def _series(f: float):
@@ -290,7 +296,12 @@ def shift_datum(lat: Column, lon: Column, shift, source, target=WGS84, inverse:
     x, y, z = n * F.cos(p) * F.cos(lam), n * F.cos(p) * F.sin(lam), n * (1 - e2) * F.sin(p)
     k = 1 + ppm * 1e-6
     x, y, z = dx + k * (x - rz * y + ry * z), dy + k * (rz * x + y - rx * z), dz + k * (-ry * x + rx * y + z)
-    axis, f = target
+    return from_geocentric(x, y, z, target)
+
+
+def from_geocentric(x: Column, y: Column, z: Column, ellipsoid=WGS84) -> tuple[Column, Column]:
+    """Latitude and longitude of earth-centred coordinates; better than 1e-9 degrees near the ground."""
+    axis, f = ellipsoid
     e2, b = f * (2 - f), axis * (1 - f)
     r = F.sqrt(x * x + y * y)
     theta = F.atan2(z * axis, r * b)
@@ -299,34 +310,59 @@ def shift_datum(lat: Column, lon: Column, shift, source, target=WGS84, inverse:
 
 
 #: Coordinate systems by EPSG number: a projection (None: latitude and longitude in degrees) and a shift with its ellipsoid.
-SYSTEMS = {4326: (None, None, WGS84), 32632: (UTM32, None, WGS84), 25832: (UTM32, None, WGS84), 31467: (GK3, DHDN, BESSEL), 23032: (ED50_UTM32, ED50, HAYFORD)}
+SYSTEMS = {4326: (None, None, WGS84), 3035: (LAEA, None, WGS84), 32632: (UTM32, None, WGS84), 25832: (UTM32, None, WGS84), 31467: (GK3, DHDN, BESSEL), 23032: (ED50_UTM32, ED50, HAYFORD)}
 
 
 def reproject(df: DataFrame, x: str, y: str, source: int, target: int, out: tuple[str, str]) -> DataFrame:
     """df with coordinates of another system. For 4326, x is the latitude and y the longitude. One projection per step, so that no step's
     expression is repeated inside the next one's."""
     (p1, s1, e1), (p2, s2, e2) = SYSTEMS[source], SYSTEMS[target]
-    lat, lon = from_mercator(c(x), c(y), p1) if p1 else (c(x), c(y))
+    back = from_laea if p1 is LAEA else from_mercator
+    lat, lon = back(c(x), c(y), p1) if p1 else (c(x), c(y))
     steps = df.withColumns({"_lat": lat, "_lon": lon})
     for shift, a, b, inverse in ((s1, e1, WGS84, False), (s2, WGS84, e2, True)):
         if shift:
             lat, lon = shift_datum(c("_lat"), c("_lon"), shift, a, b, inverse)
             steps = steps.withColumns({"_lat": lat, "_lon": lon})
-    lat, lon = to_mercator(c("_lat"), c("_lon"), p2) if p2 else (c("_lat"), c("_lon"))
+    there = to_laea if p2 is LAEA else to_mercator
+    lat, lon = there(c("_lat"), c("_lon"), p2) if p2 else (c("_lat"), c("_lon"))
     return steps.withColumns({out[0]: lat, out[1]: lon}).drop("_lat", "_lon")
 
 
-def to_laea(lat: Column, lon: Column, lat0: float = 52.0, lon0: float = 10.0) -> tuple[Column, Column]:
+class _EqualArea:
+    """Constants of a Lambert azimuthal equal-area system and its authalic function q, for numbers (math) or columns (F)."""
+
+    def __init__(self, system):
+        (axis, f), lat0, self.lon0 = system
+        self.e2 = f * (2 - f)
+        s0 = math.sin(math.radians(lat0))
+        self.qp = self.q(1.0, math)
+        self.b0 = math.asin(self.q(s0, math) / self.qp)
+        self.rq = axis * math.sqrt(self.qp / 2)
+        self.d = axis * math.cos(math.radians(lat0)) / math.sqrt(1 - self.e2 * s0 * s0) / (self.rq * math.cos(self.b0))
+
+    def q(self, s, lib):
+        e = math.sqrt(self.e2)
+        return (1 - self.e2) * (s / (1 - self.e2 * s * s) - lib.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def to_laea(lat: Column, lon: Column, system=LAEA) -> tuple[Column, Column]:
     """Lambert azimuthal equal-area coordinates of the European grid (false origin 4321000, 3210000)."""
-    e2 = _F * (2 - _F)
-    e = math.sqrt(e2)
-    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    s0 = math.sin(math.radians(lat0))
-    qf = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    qp = qf(1.0)
-    b0 = math.asin(qf(s0) / qp)
-    rq = _A * math.sqrt(qp / 2)
-    dd = _A * math.cos(math.radians(lat0)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b0))
-    beta, dl = F.asin(q(F.sin(F.radians(lat))) / qp), F.radians(lon - lon0)
-    b = rq * F.sqrt(2 / (1 + math.sin(b0) * F.sin(beta) + math.cos(b0) * F.cos(beta) * F.cos(dl)))
-    return 4321000 + b * dd * F.cos(beta) * F.sin(dl), 3210000 + b / dd * (math.cos(b0) * F.sin(beta) - math.sin(b0) * F.cos(beta) * F.cos(dl))
+    k = _EqualArea(system)
+    beta, dl = F.asin(k.q(F.sin(F.radians(lat)), F) / k.qp), F.radians(lon - k.lon0)
+    b = k.rq * F.sqrt(2 / (1 + math.sin(k.b0) * F.sin(beta) + math.cos(k.b0) * F.cos(beta) * F.cos(dl)))
+    return 4321000 + b * k.d * F.cos(beta) * F.sin(dl), 3210000 + b / k.d * (math.cos(k.b0) * F.sin(beta) - math.sin(k.b0) * F.cos(beta) * F.cos(dl))
+
+
+def from_laea(x: Column, y: Column, system=LAEA) -> tuple[Column, Column]:
+    """Latitude and longitude of the European grid's coordinates: the authalic latitude, taken back by its first series term and two Newton steps."""
+    k = _EqualArea(system)
+    u, v = (x - 4321000) / k.d, (y - 3210000) * k.d
+    rho = F.sqrt(u * u + v * v)
+    half = F.asin(rho / (2 * k.rq)) * 2
+    sine = F.when(rho == 0, math.sin(k.b0)).otherwise(F.cos(half) * math.sin(k.b0) + v * F.sin(half) * math.cos(k.b0) / rho)
+    phi = F.asin(sine) + k.e2 / 3 * F.sin(2 * F.asin(sine))
+    for _ in range(2):
+        s = F.sin(phi)
+        phi = phi + (k.qp * sine - k.q(s, F)) * (1 - k.e2 * s * s) * (1 - k.e2 * s * s) / (2 * (1 - k.e2) * F.cos(phi))
+    return F.degrees(phi), k.lon0 + F.degrees(F.atan2(u * F.sin(half), rho * math.cos(k.b0) * F.cos(half) - v * math.sin(k.b0) * F.sin(half)))

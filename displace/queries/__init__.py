@@ -1,3 +1,3 @@
 """All registered queries, by area."""
 
-from displace.queries import aggregates, filters, ingest, joins, raster, scalars, series, sites  # noqa: F401
+from displace.queries import aggregates, filters, ingest, joins, raster, scalars, series, sinks, sites  # noqa: F401

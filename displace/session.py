@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,12 +26,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is missing (tests)."""
+    """The folder in spark.checkpoint.dir; where the setting is missing, a temporary one in local mode (tests), else an error."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

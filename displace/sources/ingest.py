@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from displace.functions.timefn import gps_week, key_to_time
+from displace.operators import geom
 
 c = F.col
 
@@ -48,10 +49,18 @@ def unpivot_series(df: DataFrame, key: str = "ps_id") -> DataFrame:
 
 
 def read_provider_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header, a string id first, doubles after it; the direction comes from the file's name (_E_, _E.csv: east, _U_, _U.csv: up)."""
+    """Header, a string id first, doubles after it; the direction comes from the file's name (_E_, _E.csv: east, _U_, _U.csv: up), or from its
+    folder's where a distributed writer made a folder of that name."""
     schema = StructType([StructField(columns[0], StringType())] + [StructField(n, DoubleType()) for n in columns[1:]])
     rows = spark.read.schema(schema).option("header", True).csv(path)
-    return rows.withColumn("direction", direction_of(c("_metadata.file_name")))
+    names = F.split(c("_metadata.file_path"), "/")
+    return rows.withColumn("direction", F.coalesce(*[F.nullif(direction_of(F.element_at(names, -k)), F.lit("")) for k in (1, 2)], F.lit("")))
+
+
+def provider_points(df: DataFrame, x: str = "easting", y: str = "northing", z: str = "height", source: int = 3035, target: int = 32632) -> DataFrame:
+    """df with `geometry`, a point with its height in the target system."""
+    moved = geom.reproject(df, x, y, source, target, ("_x", "_y"))
+    return moved.withColumn("geometry", geom.point(c("_x"), c("_y"), c(z))).drop("_x", "_y")
 
 
 def direction_of(name: Column) -> Column:
@@ -63,11 +72,18 @@ def merge_direction(df: DataFrame, direction: str) -> DataFrame:
     return df.where(c("direction") == direction).dropDuplicates()
 
 
-def list_tables(spark: SparkSession, patterns: tuple[str, ...] = ("Zeitreihe_%", "vertikal%", "Ost_West%"), hidden: tuple[str, ...] = ("gpkg_%", "rtree_%", "sqlite_%")) -> DataFrame:
-    """Catalogue tables whose name matches one of the patterns and none of the hidden ones."""
-    names = spark.sql("SHOW TABLES").select(c("tableName").alias("name"))
-    like = lambda ps: reduce(Column.__or__, [F.lower(c("name")).like(p.lower()) for p in ps], F.lit(False))
-    return names.where(like(patterns) & ~like(hidden))
+PATTERNS, HIDDEN = ("Zeitreihe_%", "vertikal%", "Ost_West%"), ("gpkg_%", "rtree_%", "sqlite_%")
+
+
+def list_tables(spark: SparkSession, patterns: tuple[str, ...] | None = PATTERNS, hidden: tuple[str, ...] = HIDDEN) -> DataFrame:
+    """The session catalogue's tables, filtered by name."""
+    return named_tables(spark.sql("SHOW TABLES").select(c("tableName").alias("name")), patterns, hidden)
+
+
+def named_tables(names: DataFrame, patterns: tuple[str, ...] | None = PATTERNS, hidden: tuple[str, ...] = HIDDEN, name: str = "name") -> DataFrame:
+    """Tables whose name matches one of the patterns (None: any) and none of the hidden ones, in either case of letters."""
+    like = lambda ps: reduce(Column.__or__, [F.lower(name).like(p.lower()) for p in ps], F.lit(False))
+    return names.where((F.lit(True) if patterns is None else like(patterns)) & ~like(hidden))
 
 
 def decimal_comma(v: Column) -> Column:
