@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages over documents, each written and read again before the next."""
+"""The corpus pipeline: five stages over documents, each written and read again before the next.
+
+In every stage null and empty texts are texts without words, other columns (of any name) pass unchanged, repeated rows stay or go together, and an
+empty table gives an empty one. Near copies and decontamination decide by id: rows of one id share its decision."""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ PIECES = os.environ.get("DISPLACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the classifier does not call toxic."""
+    """Documents whose text the classifier does not call toxic; null and empty texts are scored as texts without features. Without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
 
@@ -31,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage of a twentieth of their words or more."""
+    """Documents without a benchmark passage of a twentieth of their words or more. Rows of one id go together; documents without an id stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contaminated_words(docs, items)
     bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id")
@@ -39,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
+    """All documents, with every secret replaced by a mark and n_chars, if there, counted again."""
     out = redact(find_secrets(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -47,7 +50,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's piece ids."""
+    """Every document's piece ids; none for null and empty texts."""
     return encode_texts(docs.select("doc_id", "text"), Model.load(PIECES)).select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"))
 
 
