@@ -62,6 +62,16 @@ def major(per: DataFrame) -> DataFrame:
     return per.groupBy("grp").agg(F.max_by("cls", F.struct("area", "cls")).alias("major_class"), F.round(F.sum("percent"), 2).alias("total_percent"), F.count("*").alias("classes"))
 
 
+def geology_unit() -> Column:
+    """A feature's unit: its class where the reference is F, otherwise the rock of its reference."""
+    return F.coalesce(F.when(c("ref") == "F", c("fclass")), F.concat(F.lit("rock-"), c("ref")))
+
+
+def districts(near: DataFrame) -> DataFrame:
+    """The names of the districts that a site touches."""
+    return near.where(c("dist") == 0).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("fclass")), ",").alias("districts"))
+
+
 def shape(sites: DataFrame) -> DataFrame:
     """Roundness, ellipse half axes and flattening, Feret diameters and their ratio."""
     f = sites.select("grp", "ring", geom.feret(c("ring")).alias("f"), geom.ellipse_fit("ring").alias("e"))
@@ -77,12 +87,12 @@ def volumes(pairs: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 #: What a site without features of a layer gets.
-DEFAULTS = {"roads_length": 0.0, "roads_inside": False, "roads_refs": "", "railways_length": 0.0, "railways_inside": False, "railways_refs": "", "buildings_count": 0, "buildings_area": 0.0, "buildings_close": False, "water_count": 0, "water_area": 0.0, "water_close": False, "major_class": "unclassified", "classes": 0, "total_percent": 0.0}
+DEFAULTS = {"roads_length": 0.0, "roads_inside": False, "roads_refs": "", "railways_length": 0.0, "railways_inside": False, "railways_refs": "", "buildings_count": 0, "buildings_area": 0.0, "buildings_close": False, "water_count": 0, "water_area": 0.0, "water_close": False, "major_class": "unclassified", "classes": 0, "total_percent": 0.0, "geology_major": "unclassified", "geology_units": 0, "susceptibility_major": "none", "susceptibility_percent": 0.0, "districts": ""}
 
 
 def classified(sites: DataFrame, features: DataFrame, pixels: DataFrame, margin: float = 50.0) -> DataFrame:
-    """One row per site: hull, roads, railways, buildings, water, land use, shape and volumes, with defaults for what is missing. The
-    features meet the sites once for all layers."""
+    """One row per site: hull, roads, railways, buildings, water, land use, geology, susceptibility, districts, shape and volumes, with defaults
+    for what is missing. The features meet the sites once for all layers."""
     near = materialize(inside(features.select("fclass", "ref", "x", "y", "len", "area"), sites, margin=margin).select("grp", "fclass", "ref", "len", "area", "dist"), "near")
     parts = [
         network(near, "roads", ["A"]),
@@ -90,6 +100,9 @@ def classified(sites: DataFrame, features: DataFrame, pixels: DataFrame, margin:
         surfaces(near, "buildings", ["N"]),
         surfaces(near, "water", ["R"]),
         major(shares(near, sites, c("fclass"), rest="unclassified")),
+        major(shares(near, sites, geology_unit())).select("grp", c("major_class").alias("geology_major"), c("classes").alias("geology_units")),
+        major(shares(near, sites, c("fclass"), ignore=["N"])).select("grp", c("major_class").alias("susceptibility_major"), c("total_percent").alias("susceptibility_percent")),
+        districts(near),
         shape(sites).drop("flattening"),
         volumes(pixels, sites),
     ]

@@ -49,8 +49,7 @@ def site_landuse(s: DataFrame, f: DataFrame) -> DataFrame:
 
 @query("site_geology", f"{_IN} SELECT grp, coalesce(CASE WHEN ref = 'F' THEN fclass END, 'rock-' || ref) AS unit, round(sum(area), 3) AS area, round(100 * sum(area) / min(4 * half * half), 2) AS percent FROM ins GROUP BY 1, 2", "sites", "features")
 def site_geology(s: DataFrame, f: DataFrame) -> DataFrame:
-    unit = F.coalesce(F.when(c("ref") == "F", c("fclass")), F.concat(F.lit("rock-"), c("ref")))
-    return ops.shares(_near(s, f), _boxes(s), unit, decimals=3).withColumnRenamed("cls", "unit")
+    return ops.shares(_near(s, f), _boxes(s), ops.geology_unit(), decimals=3).withColumnRenamed("cls", "unit")
 
 
 @query("site_susceptibility", f"{_IN}, per AS (SELECT grp, fclass, round(100 * sum(area) / min(4 * half * half), 2) AS p, sum(area) AS a FROM ins WHERE fclass <> 'N' GROUP BY 1, 2) SELECT grp, arg_max(fclass, (round(a, 1), fclass)) AS major_class, round(sum(p), 2) AS total_percent, count(*) AS classes FROM per GROUP BY grp", "sites", "features")
@@ -60,7 +59,7 @@ def site_susceptibility(s: DataFrame, f: DataFrame) -> DataFrame:
 
 @query("site_districts", f"{_IN} SELECT grp, string_agg(DISTINCT fclass, ',' ORDER BY fclass) AS names FROM ins GROUP BY grp", "sites", "features")
 def site_districts(s: DataFrame, f: DataFrame) -> DataFrame:
-    return ops.inside(f, _boxes(s)).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("fclass")), ",").alias("names"))
+    return ops.districts(ops.inside(f, _boxes(s))).withColumnRenamed("districts", "names")
 
 
 @query("site_terrain", _TERRAIN_ZONE + ", y AS (SELECT unnest([2014, 2019, 2021]) AS year) SELECT year, grp, " + _TERRAIN_COLS.replace("least(sqrt(sa*sa + ca*ca), 1)))), 4)", "least(sqrt(sa*sa + ca*ca), 1)))), 3) + 0.0") + " FROM q, y", "raster", "sites")
@@ -89,12 +88,16 @@ def site_volumes(px: DataFrame, s: DataFrame) -> DataFrame:
     _VOL.replace("WITH ", f"WITH {_NEAR}, ins AS (SELECT * FROM near WHERE dist = 0), nb AS (SELECT * FROM near WHERE dist <= 50), {_SHARES[len(_IN) + 2:]}, ", 1)
     + f""", ro AS ({_network_sql('roads', 'A')}), ra AS ({_network_sql('railways', 'R')}), bu AS ({_surface_sql('buildings', 'N')}), wa AS ({_surface_sql('water', 'R')}),
        lu AS (SELECT grp, arg_max(cls, (round(every.area, 1), cls)) AS major_class, round(sum(round(100 * every.area / (4 * half * half), 2)), 2) AS total_percent, count(*) AS classes FROM every JOIN sites USING (grp) GROUP BY grp),
-       vo AS (SELECT grp, {_VOLS} FROM g)
+       vo AS (SELECT grp, {_VOLS} FROM g),
+       ge AS (SELECT grp, arg_max(unit, (round(a, 1), unit)) AS geology_major, count(*) AS geology_units FROM (SELECT grp, coalesce(CASE WHEN ref = 'F' THEN fclass END, 'rock-' || ref) AS unit, sum(area) AS a FROM ins GROUP BY 1, 2) GROUP BY grp),
+       su AS (SELECT grp, arg_max(fclass, (round(a, 1), fclass)) AS susceptibility_major, round(sum(p), 2) AS susceptibility_percent FROM (SELECT grp, fclass, sum(area) AS a, round(100 * sum(area) / min(4 * half * half), 2) AS p FROM ins WHERE fclass <> 'N' GROUP BY 1, 2) GROUP BY grp),
+       di AS (SELECT grp, string_agg(DISTINCT fclass, ',' ORDER BY fclass) AS districts FROM ins GROUP BY grp)
        SELECT grp, round(4 * half * half, 1) AS area, round(8 * half, 1) AS outline, coalesce(roads_length, 0) AS roads_length, roads_nearest, coalesce(roads_inside, FALSE) AS roads_inside, coalesce(roads_refs, '') AS roads_refs,
               coalesce(railways_length, 0) AS railways_length, railways_nearest, coalesce(railways_inside, FALSE) AS railways_inside, coalesce(railways_refs, '') AS railways_refs,
               coalesce(buildings_count, 0) AS buildings_count, coalesce(buildings_area, 0) AS buildings_area, coalesce(buildings_close, FALSE) AS buildings_close, coalesce(water_count, 0) AS water_count, coalesce(water_area, 0) AS water_area, coalesce(water_close, FALSE) AS water_close,
+              coalesce(geology_major, 'unclassified') AS geology_major, coalesce(geology_units, 0) AS geology_units, coalesce(susceptibility_major, 'none') AS susceptibility_major, coalesce(susceptibility_percent, 0) AS susceptibility_percent, coalesce(districts, '') AS districts,
               major_class, total_percent, classes, 0.785 AS roundness, round(2 * half, 4) AS length, round(2 * half, 4) AS width, 1.0 AS aspect_ratio, volume_total_100, volume_added_100, volume_removed_100, volume_moved_100, volume_error
-       FROM sites LEFT JOIN ro USING (grp) LEFT JOIN ra USING (grp) LEFT JOIN bu USING (grp) LEFT JOIN wa USING (grp) LEFT JOIN lu USING (grp) LEFT JOIN vo USING (grp)""",
+       FROM sites LEFT JOIN ro USING (grp) LEFT JOIN ra USING (grp) LEFT JOIN bu USING (grp) LEFT JOIN wa USING (grp) LEFT JOIN lu USING (grp) LEFT JOIN ge USING (grp) LEFT JOIN su USING (grp) LEFT JOIN di USING (grp) LEFT JOIN vo USING (grp)""",
     "sites",
     "features",
     "raster",
