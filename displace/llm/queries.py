@@ -17,6 +17,7 @@ from displace.llm.secrets import BASE, MORE, find_secrets, secrets_digest
 from displace.llm.simhash import simhash_components
 from displace.llm.toxicity import score_toxicity
 from displace.llm.warc import plan_revisits, read_warc, resolve_revisits, write_warc
+from displace.llm.whitening import whiten
 from displace.session import fresh_path
 
 
@@ -74,6 +75,10 @@ def op10_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "content_score", "metadata_score", "score", "predicted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pieces": op2_pieces,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_secrets": op9_secrets,
     "op10_cotrain": op10_cotrain,
+    "op11_whitening": op11_whitening,
 }
 
 def _secrets_sql() -> str:
