@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from displace.llm.decontaminate import contaminated_words, contamination_digest
 from displace.llm.imatch import imatch_report
 from displace.llm.language_model import score_texts
+from displace.llm.packing import pack_documents
 from displace.llm.pieces import Model, encode_texts, pieces_digest
 from displace.llm.quality import score_quality
 from displace.llm.repeats import remove_repeats, spans_digest
 from displace.llm.secrets import BASE, MORE, find_secrets, secrets_digest
 from displace.llm.simhash import simhash_components
 from displace.llm.toxicity import score_toxicity
+from displace.llm.variants import spelling_variants
 from displace.llm.warc import plan_revisits, read_warc, resolve_revisits, write_warc
 from displace.llm.whitening import whiten
 from displace.session import fresh_path
@@ -23,6 +25,8 @@ from displace.session import fresh_path
 
 #: Where the model's file lies; a path on the driver.
 PIECES = os.environ.get("DISPLACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: The vocabulary of op12; a path on the driver.
+BYTES = os.environ.get("DISPLACE_BYTES", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +83,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(BYTES, encoding="utf-8") as vocabulary:
+        return pack_documents(_table(spark, sf_dir, "documents"), vocabulary.read())
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pieces": op2_pieces,
@@ -91,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_cotrain": op10_cotrain,
     "op11_whitening": op11_whitening,
+    "op12_packing": op12_packing,
+    "op13_variants": op13_variants,
 }
 
 def _secrets_sql() -> str:
