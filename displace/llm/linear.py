@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from displace.llm.textbytes import Rolling, text_buffer, word_segments, words
+from displace.llm.textbytes import Rolling, spare_name, text_buffer, word_segments, words
 from displace.session import materialize
 
 BITS = 20
@@ -266,4 +266,4 @@ def add_scores(docs: DataFrame, text: str, weights: np.ndarray, chosen: np.ndarr
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(z)], names=[*names, out])
 
     schema = StructType([*docs.schema.fields]).add(out, DoubleType())
-    return docs.withColumn("_bytes", F.coalesce(F.col(text).cast("binary"), F.lit(b""))).mapInArrow(score, schema)
+    return docs.withColumn(spare_name("_bytes", names), F.coalesce(F.col(text).cast("binary"), F.lit(b""))).mapInArrow(score, schema)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from displace.llm.textbytes import spare_name
+
 #: The mark for a space, the penalty for a character in no piece.
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -186,7 +188,7 @@ def encode_texts(docs: DataFrame, model: Model, text: str = "text", ids: str = "
 
     schema = StructType([*kept.schema.fields]).add(ids, ArrayType(IntegerType()))
     schema = schema.add(decoded, StringType()) if decoded else schema
-    return kept.withColumn("_text", F.col(text)).mapInArrow(run, schema)
+    return kept.withColumn(spare_name("_text", names), F.col(text)).mapInArrow(run, schema)
 
 
 def decode_ids(rows: DataFrame, model: Model, ids: str = "piece_ids", text: str = "text") -> DataFrame:

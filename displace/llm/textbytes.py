@@ -130,6 +130,14 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def spare_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until no column has it (in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def table(rows: dict, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 

@@ -24,7 +24,6 @@ from displace.session import materialize
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-HEAD = 1 << 16
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -128,8 +127,6 @@ def _member(source: _Source, at: int):
                 return None
             cut = head.find(b"\r\n\r\n")
             if cut < 0:
-                if len(head) > HEAD:
-                    return None
                 continue
             fields = _headers(head[:cut])
             if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
@@ -178,7 +175,8 @@ READ = "file string, start bigint, record_type string, record_id string, target_
 def read_warc(spark: SparkSession, path: str, split: int = 32 << 20) -> DataFrame:
     """One row per record of the archives below `path`: its place, type, ids, the digest its header states, and the payload's length
     and SHA-1 as read (a revisit holds no payload of its own). Files may be one member per record or hold foreign bytes between
-    records, which are skipped; an empty folder gives an empty table."""
+    records, which are skipped; an empty folder gives an empty table. A record's head may be of any length and is held whole. Each range of
+    `split` bytes is a task."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("begin"))
     ranges = ranges.select("path", "begin", F.least(F.col("begin") + split, "length").alias("end"))
@@ -194,7 +192,8 @@ def read_warc(spark: SparkSession, path: str, split: int = 32 << 20) -> DataFram
                         rows = []
             yield _batch(rows)
 
-    return ranges.repartition(F.xxhash64("path", "begin")).mapInArrow(scan, READ)
+    # a stated number is kept: ranges are a few bytes each, and would be merged into one task otherwise
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(scan, READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -113,3 +113,21 @@ def test_whole_run(spark, docs, rows, folder):
     docs.write.parquet(f"{folder}/documents.parquet")
     got = corpus_pipeline.run(spark, folder).where(F.col("doc_id") < 1000)
     assert sorted(r.doc_id for r in got.collect()) == [1, 7, 8, 11, 12, 12]
+
+
+CLASHING = ["score", "predicted", "held_out", "secrets", "_z", "_bytes", "_text", "_row", "_rest", "_key", "_found", "rules", "group", "n_words", "n_hit", "piece_ids"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_keep_the_values_of_clashing_columns(spark, rows, folder, name):
+    wide = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    wide = wide.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING])
+    got = dict(corpus_pipeline.STAGES)[name](spark, wide, folder)
+    if name == "tokens":
+        assert got.count() == len(rows)
+        return
+    assert got.schema.names == wide.schema.names
+    kept = got.collect()
+    assert len(kept) > 200
+    for r in kept:
+        assert [r[c] for c in CLASHING] == [f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in CLASHING]

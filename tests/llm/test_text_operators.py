@@ -594,3 +594,14 @@ def test_foreign_bytes_between_records(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"junk\x1f\x8b\x08\x00zz" + rec + b"\x00" * 7 + gzip.compress(b"no record") + rec)
     rows = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
     assert [(r.record_type, r.payload_bytes) for r in rows] == [("resource", 3)] * 2
+
+
+def test_warc_reads_long_heads_and_payloads_in_a_task_a_range(spark, tmp_path):
+    noise = np.random.default_rng(0).integers(33, 127, 20 << 20, dtype=np.uint8).tobytes().decode()
+    rows = [(1, "http://a/" + noise[: 3 << 20], "x"), (2, "http://b/", noise[: 2 << 20]), (3, "http://c/", noise), (4, "http://d/", "y"), (5, None, noise[: 2 << 20])]
+    path = f"file://{tmp_path}/long"
+    warc.write_warc(warc.plan_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)), path)
+    found = warc.read_warc(spark, path, 1 << 20)
+    assert found.rdd.getNumPartitions() > 15
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.resolve_revisits(found).collect()}
+    assert got == {i: (len(t), hashlib.sha1(t.encode()).hexdigest(), "revisit" if i == 2 else "response") for i, _, t in rows}
