@@ -23,30 +23,31 @@ PIECES = os.environ.get("DISPLACE_PIECES", "/opt/tokenizers/piece_bpe_32k.model"
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the classifier does not call toxic; null and empty texts are scored as texts without features. Without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return score_toxicity(own, labels).where("predicted = 0").select("_row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8): the one with the smallest id. Documents
-    without an id belong to no group and all stay."""
-    kept = near_copy_groups(docs).where(F.col("doc_id") == F.col("group")).select("doc_id")
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8): the one with the smallest id. Ids are whole
+    numbers (others are an error). Documents without an id belong to no group and all stay."""
+    kept = near_copy_groups(docs.select("doc_id", "text")).where(F.col("doc_id") == F.col("group")).select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage of a twentieth of their words or more. Rows of one id go together; documents without an id stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated_words(docs, items)
+    found = contaminated_words(docs.select("doc_id", "text"), items)
     bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars, if there, counted again."""
-    out = redact(find_secrets(docs))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    out = redact(find_secrets(docs.select("doc_id", "text", F.struct(*rest).alias("_rest"))))
+    now = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[now[f.name].cast(f.dataType).alias(f.name) if f.name in now else F.col("_rest")[f.name].alias(f.name) for f in docs.schema.fields])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
