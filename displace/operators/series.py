@@ -4,6 +4,7 @@ small solve per group follows. Times are float years, shifted by each group's mi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -118,39 +119,105 @@ def named(fits: DataFrame, by: list[str], t: Column | None = None, **model) -> D
 
 
 def cross_correlation(df: DataFrame, by: list[str], i: str, a: str, b: str, most: int | None = None, shown: int | None = None) -> DataFrame:
-    """(by, lag, r): sums of a[i] * b[i - lag] over deviations from the means, over the largest of them. Every lag of a group's own span is
-    looked at, or only |lag| <= most; `shown` leaves out further lags after they have been divided."""
-    mean = df.groupBy(*by).agg(F.avg(a).alias("_ma"), F.avg(b).alias("_mb"), F.min(i).alias("_lo"), F.max(i).alias("_hi"))
-    own = df.join(mean, by).select(*by, c(i).alias("_i"), (c(a) - c("_ma")).alias("_a"), (c(b) - c("_mb")).alias("_b"), "_lo", "_hi")
-    lags = F.sequence(c("_i") - c("_hi"), c("_i") - c("_lo")) if most is None else F.sequence(F.lit(-most), F.lit(most))
-    left = own.select(*by, "_i", "_a", F.explode(lags).alias("lag")).withColumns({"_k": c("_i") - c("lag"), "lag": c("lag").cast("int")})
-    right = own.select(*by, c("_i").alias("_k"), "_b")
-    g = left.join(right, [*by, "_k"]).groupBy(*by, "lag").agg(F.sum(c("_a") * c("_b")).alias("_s"))
-    r = g.withColumn("r", c("_s") / F.max("_s").over(Window.partitionBy(*by))).drop("_s")
-    return r if shown is None else r.where(F.abs("lag") <= shown)
+    """(by, lag, r): sums of a[i] * b[i - lag] over deviations from the means, over the largest of them, by Fourier transforms of a group's
+    series. Every lag between two rows of a group is looked at, or only |lag| <= most; `shown` leaves out further lags after they have been
+    divided. A missing value (null or not finite) takes part in no product, a lag without products has no r; rows of one step are added up
+    before they meet in a task; rows without a step are left out."""
+    step = c(i).cast("long").alias("_i")
+    ok = {k: F.when(~F.isnan(c(k).cast("double")) & (F.abs(c(k).cast("double")) < math.inf), c(k).cast("double")) for k in (a, b)}
+    own = df.where(c(i).isNotNull()).groupBy(*by, step).agg(F.count("*").alias("_n"), *[f(ok[k]).alias(n) for k, n in ((a, "a"), (b, "b")) for f, n in ((F.sum, f"_s{n}"), (F.count, f"_n{n}"))])
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(batches))
+        at, n, na, nb = (g[k].to_numpy(np.int64) for k in ("_i", "_n", "_na", "_nb"))
+        sa, sb = (np.nan_to_num(g[k].to_numpy(float)) for k in ("_sa", "_sb"))
+        sa, sb = sa - na * (sa.sum() / max(na.sum(), 1)), sb - nb * (sb.sum() / max(nb.sum(), 1))
+        lag, sums = correlate(at, [(n, n), (na, nb), (sa, sb)], most)
+        some = sums[0] > 0.5
+        lag, met, r = lag[some], sums[1][some] > 0.5, sums[2][some]
+        top = r[met].max() if met.any() else 0.0
+        r = pd.array(np.where(met & (top != 0), r / (top or 1.0), 0.0), "Float64")
+        r[~met | (top == 0)] = pd.NA
+        out = pd.DataFrame({"lag": lag.astype(np.int32), "r": r})
+        out = out if shown is None else out[out["lag"].abs() <= shown]
+        yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(by, key, strict=True)}, "lag": out["lag"].to_numpy(), "r": out["r"].array})
+
+    kinds = dict(df.dtypes)
+    return own.groupBy(*by).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "lag int, r double"]))
+
+
+def correlate(at: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], most: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lags in rising order and, for each pair (x, y) over the distinct steps `at`, the sums of x[i] * y[i - lag]: n log n of the span by Fourier
+    transforms, or of the pairs themselves where the span is so sparse that they are fewer."""
+    at = at - at.min()
+    span = int(at.max()) + 1
+    size = 1 << (2 * span - 1).bit_length()
+    if len(at) ** 2 < size:
+        lag, slot = np.unique(np.subtract.outer(at, at), return_inverse=True)
+        sums = [np.bincount(slot.ravel(), np.multiply.outer(x, y).ravel().astype(float)) for x, y in pairs]
+    else:
+        lag = np.arange(1 - span, span)
+        dense = lambda x: np.fft.rfft(np.bincount(at, x, span), size)
+        sums = [np.fft.irfft(dense(x) * np.conj(dense(y)), size)[lag] for x, y in pairs]
+    near = slice(None) if most is None else np.abs(lag) <= most
+    return lag[near], [x[near] for x in sums]
 
 
 def wavelet_power(df: DataFrame, by: list[str], i: str, v: str, dj: float, scales: int, first: float = 2.0, omega: float = 6.0) -> DataFrame:
     """(by, i, scale, power, freq, coi): Morlet power over the scale of a detrended, normalised series on whole steps; a scale's wavelet is cut at
-    four times the scale. (i, i') pairs meet by blocks of that width, so each sample meets only its neighbours. freq is the scale's frequency;
-    coi the frequency below which a sample is nearer to an end of its series than the wavelet's e-folding time, at most the largest freq."""
-    fit = linear_fit(df.withColumn("_t", c(i).cast("double")), by, "_t", v)
-    flat = df.join(fit, by).select(*by, c(i).cast("long").alias("_i"), ((c(v) - c("intercept") - c("slope") * c(i)) / F.sqrt(F.when(c("residual_var") > 0, c("residual_var")))).alias("_y"))
+    four times the scale. One series is convolved at a time, scale by scale, by Fourier transforms. freq is the scale's frequency; coi the
+    frequency below which a sample is nearer to an end of its series than the wavelet's e-folding time, at most the largest freq. A step's rows
+    are averaged before they meet in a task; missing values (null or not finite) add nothing, and power is null where a window holds no value
+    or the series has no residual; rows without a step are left out."""
+    value = c(v).cast("double")
+    own = df.where(c(i).isNotNull()).groupBy(*by, c(i).cast("long").alias("_i")).agg(F.avg(F.when(~F.isnan(value) & (F.abs(value) < math.inf), value)).alias("_v"))
     values = [first * 2 ** (dj * k) for k in range(scales)]
-    s = F.explode(F.array(*map(F.lit, values)))
-    own = flat.select(*by, c("_i").alias("i"), s.alias("scale")).withColumn("_w", F.ceil(4 * c("scale")).cast("long"))
-    a = own.withColumn("_block", F.explode(F.array(*[F.floor(c("i") / c("_w")) + d for d in (-1, 0, 1)])))
-    b = flat.select(*by, "_i", "_y", s.alias("scale")).withColumn("_block", F.floor(c("_i") / F.ceil(4 * c("scale"))))
-    x = (c("_i") - c("i")) / c("scale")
-    part = c("_y") * F.exp(-x * x / 2)
-    g = a.join(b, [*by, "scale", "_block"]).where(F.abs(c("_i") - c("i")) <= c("_w")).groupBy(*by, "i", "scale").agg(F.sum(part * F.cos(omega * x)).alias("_re"), F.sum(part * F.sin(omega * x)).alias("_im"))
-    norm = math.pi**-0.25
-    power = (c("_re") * c("_re") + c("_im") * c("_im")) * norm * norm / c("scale")
     period = 4 * math.pi / (omega + math.sqrt(2 + omega * omega))
-    ends = flat.groupBy(*by).agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
-    edge = F.least(c("i") - c("_lo"), c("_hi") - c("i")) + 0.5
-    coi = F.least(math.sqrt(2) / (period * edge), F.lit(1 / (period * first)))
-    return g.join(ends, by).select(*by, "i", "scale", (power / c("scale")).alias("power"), (1 / (period * c("scale"))).alias("freq"), coi.alias("coi"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(batches)).sort_values("_i")
+        at, y, ok = g["_i"].to_numpy(np.int64), *flatten(g["_i"].to_numpy(float), g["_v"].to_numpy(float))
+        coi = np.minimum(math.sqrt(2) / (period * (np.minimum(at - at[0], at[-1] - at) + 0.5)), 1 / (period * first))
+        for scale in values:
+            power, some = morlet(at, y, ok, scale, omega)
+            power = pd.array(power, "Float64")
+            power[~some] = pd.NA
+            yield pd.DataFrame({**{k: [x] * len(at) for k, x in zip(by, key, strict=True)}, "i": at, "scale": scale, "power": power, "freq": 1 / (period * scale), "coi": coi})
+
+    kinds = dict(df.dtypes)
+    return own.groupBy(*by).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "i bigint, scale double, power double, freq double, coi double"]))
+
+
+def flatten(t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of a straight line over their standard deviation (0 where there is none), and where there is one."""
+    ok = np.isfinite(v)
+    out = np.zeros(len(v))
+    if ok.sum() > 1:
+        x, d = t[ok] - t[ok].mean(), v[ok] - v[ok].mean()
+        d = d - x * ((x @ d) / (x @ x))
+        if (sd := d.std()) > 1e-12 * np.abs(v[ok]).max():
+            out[ok] = d / sd
+            return out, ok
+    return out, np.zeros(len(v), bool)
+
+
+def morlet(at: np.ndarray, y: np.ndarray, ok: np.ndarray, scale: float, omega: float) -> tuple[np.ndarray, np.ndarray]:
+    """Power over the scale at the rising steps `at`, and whether their windows hold a value. Stretches further apart than the window do not
+    meet and are convolved one by one, so a gap costs nothing."""
+    width = math.ceil(4 * scale)
+    power, some = np.zeros(len(at)), np.zeros(len(at), bool)
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > width) + 1):
+        step = at[part] - at[part[0]]
+        span = int(step[-1]) + 1
+        half = min(width, span - 1)
+        x = np.arange(-half, half + 1) / scale
+        size = 1 << (span + 2 * half - 1).bit_length()
+        dense, wave = np.bincount(step, y[part], span), np.exp(-x * x / 2 - 1j * omega * x)
+        met = np.fft.ifft(np.fft.fft(dense, size) * np.fft.fft(wave, size))[step + half]
+        power[part] = np.abs(met) ** 2 / math.sqrt(math.pi) / scale**2
+        seen = np.concatenate([[0], np.cumsum(np.bincount(step[ok[part]], minlength=span))])
+        some[part] = seen[np.minimum(step + half + 1, span)] > seen[np.maximum(step - half, 0)]
+    return power, some
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
