@@ -5,18 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from displace.session import materialize
+
 c = F.col
 
 
+def exact_percentiles(df: DataFrame, by: list[str], v: str, qs: tuple[float, ...], most: int = 1_000_000, bins: int = 4096, accuracy: int = 10_000) -> DataFrame:
+    """(by, n, p): exact percentiles per group, linear between neighbours, as an array in the order of qs; no task holds a group's values. A sketch brackets
+    the ranks, the values below and inside a bracket are counted, and brackets of more than `most` values are narrowed by counts in `bins` equal
+    steps until they hold fewer or one value only; those alone are put in order. Missing values (null or not finite) are left out; a group
+    without values has no row, but without `by` there is always one."""
+    number = c(v).cast("double")
+    own = df.select(*by, number.alias("_v")).where(c("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < float("inf")))
+    near = [x for q in qs for x in (max(q - 2 / accuracy, 0.0), min(q + 2 / accuracy, 1.0))]
+    sketch = own.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.percentile_approx("_v", near, accuracy).alias("_near"))
+    first = materialize(sketch, "percentiles")
+
+    def against(state: DataFrame, *columns: str) -> DataFrame:
+        """Values with their group's row of the state; without groups that is one row."""
+        return own.join(state.select(*by, *columns), by) if by else own.withColumns({k: state.select(k).scalar() for k in columns})
+
+    # counts below and inside each bracket; where the sketch missed a rank, the group's whole range is the bracket
+    below = [F.count_if(c("_v") < c("_near")[2 * j]).alias(f"_b{j}") for j in range(len(qs))]
+    inside = [F.count_if(c("_v").between(c("_near")[2 * j], c("_near")[2 * j + 1])).alias(f"_i{j}") for j in range(len(qs))]
+    counted = against(first, "_near").groupBy(*by).agg(*below, *inside)
+    joined = first.join(counted, by) if by else first.crossJoin(counted)  # without groups one row each
+    targets = []
+    for j, q in enumerate(qs):
+        for side, rank in enumerate((F.floor(q * (c("n") - 1)), F.ceil(q * (c("n") - 1)))):
+            rank = rank.cast("long")
+            held = (rank >= c(f"_b{j}")) & (rank < c(f"_b{j}") + c(f"_i{j}"))
+            pick = lambda a, b, held=held: F.when(held, a).otherwise(b)
+            lo, hi = pick(c("_near")[2 * j], c("_lo")), pick(c("_near")[2 * j + 1], c("_hi"))
+            targets.append(F.struct(F.lit(j).alias("j"), F.lit(side).alias("side"), rank.alias("rank"), lo.alias("lo"), hi.alias("hi"), pick(c(f"_b{j}"), F.lit(0).cast("long")).alias("below"), pick(c(f"_i{j}"), c("n")).alias("inside")))
+    state = materialize(joined.select(*by, "n", F.array(*targets).alias("_targets")), "percentiles")
+    wide = lambda t: (t["inside"] > most) & (t["lo"] < t["hi"])
+    holds = lambda t: c("_v").between(t["lo"], t["hi"])
+    while not state.where(F.exists("_targets", wide)).isEmpty():
+        seen = against(state, "_targets").select(*by, "_v", F.explode(F.filter("_targets", lambda t: wide(t) & holds(t))).alias("t"))
+        step = F.least(F.floor((c("_v") / 2 - c("t.lo") / 2) / (c("t.hi") / 2 - c("t.lo") / 2) * bins), F.lit(bins - 1)).alias("_bin")
+        counts = seen.groupBy(*by, "t", step).agg(F.count("*").alias("k"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = counts.withColumn("_below", c("t.below") + F.sum("k").over(Window.partitionBy(*by, "t").orderBy("_bin")) - c("k"))
+        chosen = upto.where((c("_below") <= c("t.rank")) & (c("t.rank") < c("_below") + c("k")))
+        now = F.struct("t.j", "t.side", "t.rank", "lo", "hi", c("_below").alias("below"), c("k").alias("inside"))
+        new = chosen.groupBy(*by).agg(F.collect_list(now).alias("_new"))
+        rest = F.filter("_targets", lambda t: ~wide(t))
+        told = state.join(new, by, "left") if by else state.withColumn("_new", new.select("_new").scalar())
+        state = materialize(told.select(*by, "n", F.when(c("_new").isNull(), rest).otherwise(F.concat(rest, "_new")).alias("_targets")), "percentiles")
+    seen = against(state, "n", "_targets").select(*by, "n", "_v", F.explode(F.filter("_targets", holds)).alias("t"))
+    values = seen.groupBy(*by, "n", "t", "_v").agg(F.count("*").alias("k"))
+    upto = values.withColumn("_upto", c("t.below") + F.sum("k").over(Window.partitionBy(*by, "t").orderBy("_v")))
+    at = upto.where(c("_upto") > c("t.rank")).groupBy(*by, "n", "t.j").agg(*[F.min(F.when(c("t.side") == k, c("_v"))).alias(f"_{k}") for k in (0, 1)])
+    q = F.element_at(F.array(*map(F.lit, qs)), c("j") + 1) * (c("n") - 1)
+    point = c("_0") + (q - F.floor(q)) * (c("_1") - c("_0"))
+    found = at.groupBy(*by, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", point.alias("p")))), lambda x: x["p"]).alias("p"))
+    return found if by else state.select("n", found.select("p").scalar().alias("p"))
+
+
 def clip_percentile(df: DataFrame, columns: list[str], q: float, by: list[str] | None = None) -> DataFrame:
-    """Values whose size is beyond the q-th percentile of sizes become null; limits per group, or overall."""
+    """Values whose size is beyond the q-th percentile of sizes become null; limits per group, or overall. A group without values, or without
+    a key, has no limit and keeps none."""
     by = by or []
-    limits = df.groupBy(*by).agg(*[F.percentile(F.abs(c(k)), F.lit(q)).alias(f"_q_{k}") for k in columns])
-    if by:
-        wide = df.join(limits, by)
-    else:
-        wide = df.withColumns({f"_q_{k}": limits.select(f"_q_{k}").scalar() for k in columns})
-    return wide.withColumns({k: F.when(F.abs(c(k)) <= c(f"_q_{k}"), c(k)) for k in columns}).drop(*[f"_q_{k}" for k in columns])
+    for k in columns:
+        limit = exact_percentiles(df.select(*by, F.abs(c(k)).alias("_size")), by, "_size", (q,)).select(*by, c("p")[0].alias("_limit"))
+        wide = df.join(limit, by, "left") if by else df.withColumn("_limit", limit.scalar())
+        df = wide.withColumn(k, F.when(F.abs(c(k)) <= c("_limit"), c(k))).drop("_limit")
+    return df
 
 
 def quantile_band(df: DataFrame, by: list[str], v: str, qs: tuple[float, ...] = (0.05, 0.32, 0.5, 0.68, 0.95), exact: bool = True) -> DataFrame:

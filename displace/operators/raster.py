@@ -1,8 +1,9 @@
-"""Raster operators on pixel tables (tile, r, c, v): stencils by shifted equi-joins, zones by spatial joins, contours per ring."""
+"""Raster operators on pixel tables (tile, r, c, v): stencils on blocks of pixels, zones by spatial joins, contours per ring."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,22 +22,58 @@ def pixel_xy(px: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> Da
     return px.withColumns({"x": (c("c") + 0.5) * size + x0, "y": (c("r") + 0.5) * size + y0})
 
 
-def neighbours(px: DataFrame, by: tuple[str, ...] = ("tile",)) -> DataFrame:
-    """Each pixel with its 3x3 neighbourhood z[-1..1][-1..1] as columns n00 .. n22 (row, column): each pixel is sent to the nine cells it belongs to
-    and pivoted there, one shuffle."""
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    sent = px.select(*by, "r", "c", "v", near.alias("n")).select(*by, (c("r") - c("n.a")).alias("r"), (c("c") - c("n.b")).alias("c"), "v", "n.a", "n.b")
-    cells = [F.max(F.when((c("a") == a) & (c("b") == b), c("v"))).alias(f"n{a + 1}{b + 1}") for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    return sent.groupBy(*by, "r", "c").agg(*cells).where("n11 is not null")
+def stencil(px: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]], names: list[str], by: tuple[str, ...] = ("tile",), block: int = 256) -> DataFrame:
+    """(by, r, c, v, names): arrays that `kernel` makes of a block of pixels with one row and column more on each side. Pixels meet in square
+    blocks; only those on a block's border are sent to its neighbours too, so the raster is shuffled once and 4 / block of it twice. A missing
+    pixel (no row, null or NaN) is NaN in the array; pixels where an output is NaN are left out. Of repeated pixels the largest value counts."""
+    beside = lambda k: F.explode(F.array_distinct(F.array(F.floor((c(k) - 1) / block), F.floor((c(k) + 1) / block))))
+    own = px.select(*by, "r", "c", c("v").cast("double").alias("v")).where(c("v").isNotNull() & ~F.isnan("v") & c("r").isNotNull() & c("c").isNotNull())
+    sent = own.withColumn("_br", beside("r")).withColumn("_bc", beside("c"))
+    kinds = dict(px.dtypes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(key[-2]) * block, int(key[-1]) * block
+        z = np.full((block + 2, block + 2), np.nan)
+        np.fmax.at(z, (pdf["r"].to_numpy() - r0 + 1, pdf["c"].to_numpy() - c0 + 1), pdf["v"].to_numpy())
+        inner, out = z[1:-1, 1:-1], kernel(z)
+        i, j = np.nonzero(np.logical_and.reduce([~np.isnan(x) for x in (inner, *out)]))
+        return pd.DataFrame({**{k: [x] * len(i) for k, x in zip(by, key, strict=False)}, "r": i + r0, "c": j + c0, "v": inner[i, j], **{k: x[i, j] for k, x in zip(names, out, strict=True)}})
+
+    kept = [*[f"`{k}` {kinds[k]}" for k in by], f"r {kinds['r']}", f"c {kinds['c']}", "v double", *[f"{k} double" for k in names]]
+    return sent.groupBy(*by, "_br", "_bc").applyInPandas(run, ", ".join(kept))
+
+
+def horn(size: float) -> Callable[[np.ndarray], list[np.ndarray]]:
+    """Kernel of the differences along columns and rows, weighted 1 2 1 across."""
+
+    def run(z: np.ndarray) -> list[np.ndarray]:
+        across, down = z[:-2] + 2 * z[1:-1] + z[2:], z[:, :-2] + 2 * z[:, 1:-1] + z[:, 2:]
+        # both need the whole neighbourhood: what one lacks leaves the other out too
+        return [(across[:, 2:] - across[:, :-2]) / (8 * size), (down[2:] - down[:-2]) / (8 * size)]
+
+    return run
+
+
+def gradient(z: np.ndarray) -> list[np.ndarray]:
+    """Kernel of the central differences along rows and columns, of one side where the other neighbour is missing."""
+
+    def along(before: np.ndarray, here: np.ndarray, after: np.ndarray) -> np.ndarray:
+        one = np.where(np.isnan(after), here - before, after - here)
+        return np.where(np.isnan(before) | np.isnan(after), one, (after - before) / 2)
+
+    return [along(z[:-2, 1:-1], z[1:-1, 1:-1], z[2:, 1:-1]), along(z[1:-1, :-2], z[1:-1, 1:-1], z[1:-1, 2:])]
+
+
+def central_slope(px: DataFrame) -> DataFrame:
+    """(tile, r, c, v, slope): degrees by central differences over pixels of unit width; at an edge or beside a missing pixel by the difference
+    to the other side, none where both are missing."""
+    return stencil(px, gradient, ["_dr", "_dc"]).select("tile", "r", "c", "v", F.degrees(F.atan(F.sqrt(c("_dr") * c("_dr") + c("_dc") * c("_dc")))).alias("slope"))
 
 
 def terrain(px: DataFrame, size: float, altitude: float = 45.0, azimuth: float = 315.0) -> DataFrame:
     """Slope (degrees), aspect (downslope direction, clockwise from north, null on flat ground) and hillshade (0 to 255) by Horn's stencil;
-    rows run northwards. Pixels on the edge have none."""
-    n = neighbours(px)
-    dx = ((c("n02") + 2 * c("n12") + c("n22")) - (c("n00") + 2 * c("n10") + c("n20"))) / (8 * size)
-    dy = ((c("n20") + 2 * c("n21") + c("n22")) - (c("n00") + 2 * c("n01") + c("n02"))) / (8 * size)
-    g = n.select("tile", "r", "c", c("n11").alias("v"), dx.alias("dx"), dy.alias("dy")).where("dx is not null and dy is not null")
+    rows run northwards. Pixels on the edge or beside a missing one have none."""
+    g = stencil(px, horn(size), ["dx", "dy"])
     slope = F.atan(F.sqrt(c("dx") * c("dx") + c("dy") * c("dy")))
     aspect = F.when((c("dx") != 0) | (c("dy") != 0), F.pmod(F.degrees(F.atan2(-c("dx"), -c("dy"))) + 360, F.lit(360.0)))
     zenith, az = math.radians(90 - altitude), math.radians(azimuth)

@@ -82,6 +82,11 @@ def level_stats(s: DataFrame) -> DataFrame:
     return s.groupBy((c("grp") % 5).alias("region"), F.floor(c("half") / 100).cast("int").alias("level")).agg(F.count("*").alias("n"), F.round(area / 1e6, 6).alias("km2"), F.round(area / 1e8 * 100, 6).alias("percent"))
 
 
+def _size_limit(df: DataFrame, v: str) -> DataFrame:
+    """The 95th percentile of the sizes, as one row."""
+    return ops.exact_percentiles(df.select(F.abs(v).alias("size")), [], "size", (0.95,)).select(c("p")[0].alias("lim"))
+
+
 @query(
     "displacement_hist",
     """WITH q AS (SELECT quantile_cont(abs(value), 0.95) AS q FROM psi_series)
@@ -89,7 +94,7 @@ def level_stats(s: DataFrame) -> DataFrame:
     "psi_series",
 )
 def displacement_hist(s: DataFrame) -> DataFrame:
-    wide = s.withColumn("q", s.agg(F.percentile(F.abs("value"), F.lit(0.95))).scalar())
+    wide = s.withColumn("q", _size_limit(s, "value").scalar())
     return ops.histogram(wide, [], c("value"), -c("q"), c("q"), 99)
 
 
@@ -212,7 +217,7 @@ def fit_error(s: DataFrame) -> DataFrame:
 
 @query("abs_p95", "SELECT round(quantile_cont(abs(mean_vel), 0.95), 4) AS lim FROM psi_points", "psi_points")
 def abs_p95(p: DataFrame) -> DataFrame:
-    return p.agg(r4(F.percentile(F.abs("mean_vel"), F.lit(0.95)), "lim"))
+    return _size_limit(p, "mean_vel").select(r4(c("lim"), "lim"))
 
 
 # windows

@@ -67,6 +67,18 @@ def raster_slope(px: DataFrame) -> DataFrame:
     return ops.terrain(px, SIZE).select("r", "c", r4(c("slope"), "slope"))
 
 
+@query(
+    "raster_slope_central",
+    """WITH n AS (SELECT a.r, a.c, a.v, u.v AS u, d.v AS d, l.v AS l, w.v AS w FROM raster a LEFT JOIN raster u ON u.r = a.r - 1 AND u.c = a.c LEFT JOIN raster d ON d.r = a.r + 1 AND d.c = a.c
+       LEFT JOIN raster l ON l.r = a.r AND l.c = a.c - 1 LEFT JOIN raster w ON w.r = a.r AND w.c = a.c + 1 WHERE a.v IS NOT NULL),
+       g AS (SELECT r, c, (coalesce(d, v) - coalesce(u, v)) / nullif((d IS NOT NULL)::INT + (u IS NOT NULL)::INT, 0) AS dr, (coalesce(w, v) - coalesce(l, v)) / nullif((w IS NOT NULL)::INT + (l IS NOT NULL)::INT, 0) AS dc FROM n)
+       SELECT r, c, round(degrees(atan(sqrt(dr * dr + dc * dc))), 4) AS slope FROM g WHERE dr IS NOT NULL AND dc IS NOT NULL""",
+    "raster",
+)
+def raster_slope_central(px: DataFrame) -> DataFrame:
+    return ops.central_slope(px).select("r", "c", r4(c("slope"), "slope"))
+
+
 @query("raster_aspect", _HORN + "SELECT r, c, round(a, 4) AS aspect FROM t", "raster")
 def raster_aspect(px: DataFrame) -> DataFrame:
     return ops.terrain(px, SIZE).select("r", "c", r4(c("aspect"), "aspect"))
