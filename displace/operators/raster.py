@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from displace.operators.geom import RING
 from displace.operators.graph import connected_components
+from displace.operators.series import keyed
 from displace.session import materialize
 
 c = F.col
@@ -37,7 +38,7 @@ def stencil(px: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]], nam
         np.fmax.at(z, (pdf["r"].to_numpy() - r0 + 1, pdf["c"].to_numpy() - c0 + 1), pdf["v"].to_numpy())
         inner, out = z[1:-1, 1:-1], kernel(z)
         i, j = np.nonzero(np.logical_and.reduce([~np.isnan(x) for x in (inner, *out)]))
-        return pd.DataFrame({**{k: [x] * len(i) for k, x in zip(by, key, strict=False)}, "r": i + r0, "c": j + c0, "v": inner[i, j], **{k: x[i, j] for k, x in zip(names, out, strict=True)}})
+        return pd.DataFrame({**keyed(by, key, len(i)), "r": i + r0, "c": j + c0, "v": inner[i, j], **{k: x[i, j] for k, x in zip(names, out, strict=True)}})
 
     kept = [*[f"`{k}` {kinds[k]}" for k in by], f"r {kinds['r']}", f"c {kinds['c']}", "v double", *[f"{k} double" for k in names]]
     return sent.groupBy(*by, "_br", "_bc").applyInPandas(run, ", ".join(kept))

@@ -4,7 +4,7 @@ small solve per group follows. Times are float years, shifted by each group's mi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -118,6 +118,11 @@ def named(fits: DataFrame, by: list[str], t: Column | None = None, **model) -> D
     return rows.select(*by, F.element_at(F.array(*map(F.lit, names)), c("_i") + 1).alias("term"), "value")
 
 
+def keyed(by: Sequence[str], key: tuple, n: int) -> dict[str, pd.Series]:
+    """A group's key as columns of n rows, as Python objects: any type, nulls too."""
+    return {k: pd.Series([x] * n, dtype=object) for k, x in zip(by, key, strict=False)}
+
+
 def cross_correlation(df: DataFrame, by: list[str], i: str, a: str, b: str, most: int | None = None, shown: int | None = None) -> DataFrame:
     """(by, lag, r): sums of a[i] * b[i - lag] over deviations from the means, over the largest of them, by Fourier transforms of a group's
     series. Every lag between two rows of a group is looked at, or only |lag| <= most; `shown` leaves out further lags after they have been
@@ -140,7 +145,7 @@ def cross_correlation(df: DataFrame, by: list[str], i: str, a: str, b: str, most
         r[~met | (top == 0)] = pd.NA
         out = pd.DataFrame({"lag": lag.astype(np.int32), "r": r})
         out = out if shown is None else out[out["lag"].abs() <= shown]
-        yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(by, key, strict=True)}, "lag": out["lag"].to_numpy(), "r": out["r"].array})
+        yield pd.DataFrame({**keyed(by, key, len(out)), "lag": out["lag"].to_numpy(), "r": out["r"].array})
 
     kinds = dict(df.dtypes)
     return own.groupBy(*by).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "lag int, r double"]))
@@ -182,7 +187,7 @@ def wavelet_power(df: DataFrame, by: list[str], i: str, v: str, dj: float, scale
             power, some = morlet(at, y, ok, scale, omega)
             power = pd.array(power, "Float64")
             power[~some] = pd.NA
-            yield pd.DataFrame({**{k: [x] * len(at) for k, x in zip(by, key, strict=True)}, "i": at, "scale": scale, "power": power, "freq": 1 / (period * scale), "coi": coi})
+            yield pd.DataFrame({**keyed(by, key, len(at)), "i": at, "scale": scale, "power": power, "freq": 1 / (period * scale), "coi": coi})
 
     kinds = dict(df.dtypes)
     return own.groupBy(*by).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "i bigint, scale double, power double, freq double, coi double"]))
@@ -229,3 +234,67 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
     ranked = df.where(reduce(lambda x, y: x & y, [c(k).isNotNull() for k in (a, b)])).withColumns({"_ra": rank(a), "_rb": rank(b)})
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"))
+
+
+def median_filter(df: DataFrame, by: list[str], order: list[str], v: str, width: int) -> DataFrame:
+    """df with `smooth`: the median of `width` (odd) neighbours in a group's order; beyond its ends a series goes on as its mirror image, the end's
+    value repeated, as often as a short series needs. Missing values take no part."""
+    if width < 1 or width % 2 == 0:
+        raise ValueError("width must be odd")
+    half, each = width // 2, Window.partitionBy(*by)
+    own = df.withColumns({"_p": F.row_number().over(each.orderBy(*order)).cast("long"), "_n": F.count("*").over(each)})
+    turns = (F.ceil(half / (2 * c("_n"))) + 1).cast("long")
+    images = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(c("_p") + 2 * k * c("_n"), 1 - c("_p") + 2 * k * c("_n"))))
+    wide = own.withColumn("_q", F.explode(F.filter(images, lambda q: (q > -half) & (q <= c("_n") + half))))
+    smooth = F.percentile(v, F.lit(0.5)).over(each.orderBy("_q").rowsBetween(-half, half))
+    return wide.withColumn("smooth", smooth).where(c("_q") == c("_p")).drop("_p", "_q", "_n")
+
+
+def spline_slopes(t: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes at rising knots (four or more) of the cubic spline through them whose third derivative passes the second and the last but one
+    knot without a jump: one tridiagonal system, solved by elimination."""
+    h = np.diff(t)
+    d = np.diff(y) / h
+    first, last = t[2] - t[0], t[-1] - t[-3]
+    low, mid, up, right = (np.zeros(len(t)) for _ in range(4))
+    low[1:-1], mid[1:-1], up[1:-1], right[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1], 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
+    mid[0], up[0], right[0] = h[1], first, ((h[0] + 2 * first) * h[1] * d[0] + h[0] ** 2 * d[1]) / first
+    low[-1], mid[-1], right[-1] = last, h[-2], (h[-1] ** 2 * d[-2] + (2 * last + h[-1]) * h[-2] * d[-1]) / last
+    for k in range(1, len(t)):
+        w = low[k] / mid[k - 1]
+        mid[k] -= w * up[k - 1]
+        right[k] -= w * right[k - 1]
+    out = np.empty(len(t))
+    out[-1] = right[-1] / mid[-1]
+    for k in range(len(t) - 2, -1, -1):
+        out[k] = (right[k] - up[k] * out[k + 1]) / mid[k]
+    return out
+
+
+def spline(t: np.ndarray, y: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Values at q of the cubic spline through rising (t, y); of the polynomial through them where they are fewer than four."""
+    if len(t) < 4:
+        parts = [y[k] * np.prod([(q - t[j]) / (t[k] - t[j]) for j in range(len(t)) if j != k], axis=0) for k in range(len(t))]
+        return np.sum(np.broadcast_arrays(np.zeros(len(q)), *parts), axis=0) if parts else np.full(len(q), np.nan)
+    s = spline_slopes(t, y)
+    k = np.clip(np.searchsorted(t, q, "right") - 1, 0, len(t) - 2)
+    h, u = t[k + 1] - t[k], q - t[k]
+    d = (y[k + 1] - y[k]) / h
+    return y[k] + u * (s[k] + u * ((3 * d - 2 * s[k] - s[k + 1]) / h + u * (s[k] + s[k + 1] - 2 * d) / h**2))
+
+
+def spline_at(df: DataFrame, at: DataFrame, by: list[str], t: str, v: str) -> DataFrame:
+    """(by, t, v): the cubic spline through each group's values, at the group's times in `at` (by, t), a row for each of them. Values of one time are averaged
+    before they meet in a task; missing ones (null or not finite) are left out; null where a group has no value or a time is null. A task holds
+    one series."""
+    ok = [c(k).isNotNull() & ~F.isnan(c(k).cast("double")) & (F.abs(c(k).cast("double")) < math.inf) for k in (t, v)]
+    knots = df.where(ok[0] & ok[1]).groupBy(*by, c(t).cast("double").alias("_t")).agg(F.avg(c(v).cast("double")).alias("_v"))
+    asked = at.select(*[c(k).alias(k) for k in by], c(t).cast("double").alias("_q"))
+    kinds = dict(at.dtypes)
+
+    def run(key: tuple, own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_t")
+        got = spline(own["_t"].to_numpy(float), own["_v"].to_numpy(float), queries["_q"].to_numpy(float))
+        return pd.DataFrame({**keyed(by, key, len(got)), t: queries["_q"].to_numpy(), v: got})
+
+    return knots.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], f"`{t}` double, `{v}` double"]))

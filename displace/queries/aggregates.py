@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from displace.operators import aggregates as ops
+from displace.operators.series import median_filter as median_mirrored
 from displace.registry import query
 
 c = F.col
@@ -235,6 +236,19 @@ def median_filter(s: DataFrame) -> DataFrame:
     return s.select("ps_id", "ts", "value", r4(F.percentile("value", F.lit(0.5)).over(w), "smooth"))
 
 
+@query(
+    "median_filter_reflected",
+    """WITH o AS (SELECT ps_id, ts, value, row_number() OVER (PARTITION BY ps_id ORDER BY ts, value) AS p, count(*) OVER (PARTITION BY ps_id) AS n FROM psi_series),
+       q AS (SELECT ps_id, ts, value, p, n, (p - 1 + unnest(range(-3, 4)) + 8 * n) % (2 * n) AS k FROM o),
+       m AS (SELECT ps_id, ts, value, p, CASE WHEN k < n THEN k + 1 ELSE 2 * n - k END AS src FROM q)
+       SELECT ps_id, m.ts, m.value, round(quantile_cont(o.value, 0.5), 4) AS smooth FROM m JOIN o USING (ps_id) WHERE o.p = m.src GROUP BY ps_id, m.ts, m.value, m.p""",
+    "psi_series",
+)
+def median_filter_reflected(s: DataFrame) -> DataFrame:
+    """median_filter over seven neighbours, mirrored at the ends."""
+    return median_mirrored(s.select("ps_id", "ts", "value"), ["ps_id"], ["ts", "value"], "value", 7).select("ps_id", "ts", "value", r4(c("smooth"), "smooth"))
+
+
 @query("spacing", "WITH d AS (SELECT DISTINCT y FROM psi_points), g AS (SELECT y - lag(y) OVER (ORDER BY y) AS d FROM d) SELECT round(avg(d), 4) AS mean, min(d) AS least FROM g", "psi_points")
 def spacing(p: DataFrame) -> DataFrame:
     # the mean of the differences needs no order; the least one is found inside bands that overlap by their last value

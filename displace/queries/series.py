@@ -164,6 +164,20 @@ def fit_curve(s: DataFrame) -> DataFrame:
     return ops.forward(at, fits, ["ps_id"], "w", "value", **_FLAT).select("ps_id", "q", r4(c("dhat"), "dhat"))
 
 
+@query(
+    "spline_curve",
+    _LINE + ", e AS (SELECT ps_id, min(w) AS lo, max(w) AS hi FROM d WHERE value IS NOT NULL GROUP BY ps_id), k AS (SELECT ps_id, unnest(range(0, 50)) / 10.0 AS q FROM e) SELECT ps_id, CAST(q AS DOUBLE) AS q, round(a + b * q, 4) AS dhat FROM k JOIN e USING (ps_id) JOIN f USING (ps_id) WHERE lo < hi AND q >= lo AND q <= hi",
+    "psi_series",
+)
+def spline_curve(s: DataFrame) -> DataFrame:
+    """The spline through a series' fitted values, at tenths of a week inside the series; through a straight fit it is that line."""
+    own = _weeks(s).where("value is not null")
+    fitted = ops.forward(own, ops.invert(own, ["ps_id"], "w", "value", **_FLAT), ["ps_id"], "w", "value", **_FLAT)
+    ends = own.groupBy("ps_id").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).where("lo < hi")
+    tenths = ends.withColumn("w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: k / 10.0))).where("w >= lo and w <= hi")
+    return ops.spline_at(fitted, tenths, ["ps_id"], "w", "dhat").select("ps_id", c("w").alias("q"), r4(c("dhat"), "dhat"))
+
+
 @query(
     "fit_results",
     f"WITH f AS (SELECT ps_id, round(regr_intercept(value, w), 4) AS m0, round(regr_slope(value, w), 4) AS m1 FROM (SELECT ps_id, value, {_WEEKS} AS w FROM psi_series) GROUP BY ps_id) SELECT ps_id, x, y, m0, m1 FROM f JOIN psi_points USING (ps_id) WHERE m1 IS NOT NULL",

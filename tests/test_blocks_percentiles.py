@@ -43,6 +43,7 @@ def test_stencil_on_repeats_nulls_and_empty_tables(spark):
     px = spark.createDataFrame(rows, "tile int, r long, c long, v double")
     got = raster.stencil(px, raster.horn(1.0), ["dx", "dy"]).collect()
     assert [(x.tile, x.r, x.c, x.v, x.dx, x.dy) for x in got] == [(0, 1, 1, 1.0, 0.0, 1.0)]
+    assert raster.central_slope(px.withColumn("tile", raster.c("tile").cast("string"))).select("tile").distinct().count() == 1
     assert raster.central_slope(px.limit(0)).count() == 0
 
 

@@ -76,6 +76,8 @@ def test_wavelets_with_gaps_and_missing_values(spark):
     v[[3, 4, 40]] = np.nan
     rows = [(1, int(i), None if math.isnan(x) else float(x)) for i, x in zip(at, v, strict=True)] + [(2, i, 5.0) for i in range(4)] + [(3, 0, 1.0), (3, 0, 2.0), (4, None, 1.0)]
     df = spark.createDataFrame(rows, "k int, i long, v double")
+    named = series.wavelet_power(df.withColumn("s", F.concat(F.lit("s"), "k")), ["s"], "i", "v", 0.5, 5)
+    assert named.where("power is not null").select("s").distinct().collect() == [("s1",)]
     got = series.wavelet_power(df, ["k"], "i", "v", 0.5, 5).collect()
     assert all(r.power is None for r in got if r.k != 1) and {r.k for r in got} == {1, 2, 3}
     ok = np.isfinite(v)
