@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from displace.operators import geom, joins
+from displace.operators.regions import region_sums
 from displace.session import materialize
 
 c = F.col
@@ -28,29 +29,32 @@ def inside(features: DataFrame, sites: DataFrame, size: float = 250.0, margin: f
     return joins.near_polygons(features, own, size, margin)
 
 
+def layers(features: DataFrame, sites: DataFrame, margin: float = 50.0) -> DataFrame:
+    """(grp, fclass, ref, n_in, n_near, len, area, nearest): what each site has of each class and reference, without a row per feature and site."""
+    return region_sums(features, sites, "grp", ["fclass", "ref"], ["len", "area"], margin)
+
+
 def network(near: DataFrame, name: str, classes: list[str]) -> DataFrame:
-    """Roads or railways: length inside, distance of the nearest within the margin, and whether there are any."""
-    own = near.where(c("fclass").isin(classes))
-    within = c("dist") == 0
-    return own.groupBy("grp").agg(
-        F.round(F.coalesce(F.sum(F.when(within, c("len"))), F.lit(0.0)), 4).alias(f"{name}_length"),
-        F.floor(F.min(F.when(~within, c("dist")))).alias(f"{name}_nearest"),
+    """Roads or railways (of layers): length inside, distance of the nearest within the margin, and whether there are any."""
+    within = c("n_in") > 0
+    return near.where(c("fclass").isin(classes)).groupBy("grp").agg(
+        F.round(F.coalesce(F.sum("len"), F.lit(0.0)), 4).alias(f"{name}_length"),
+        F.floor(F.min("nearest")).alias(f"{name}_nearest"),
         F.bool_or(within).alias(f"{name}_inside"),
         F.array_join(F.array_sort(F.collect_set(F.when(within, c("ref")))), ",").alias(f"{name}_refs"),
     )
 
 
 def surfaces(near: DataFrame, name: str, classes: list[str]) -> DataFrame:
-    """Buildings or water: count and area inside, and whether any is close."""
+    """Buildings or water (of layers): count and area inside, and whether any is close."""
     own = near.where(c("fclass").isin(classes))
-    within = c("dist") == 0
-    return own.groupBy("grp").agg(F.count_if(within).alias(f"{name}_count"), F.round(F.coalesce(F.sum(F.when(within, c("area"))), F.lit(0.0)), 4).alias(f"{name}_area"), F.bool_or(~within).alias(f"{name}_close"))
+    return own.groupBy("grp").agg(F.sum("n_in").alias(f"{name}_count"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 4).alias(f"{name}_area"), F.bool_or(c("n_near") > c("n_in")).alias(f"{name}_close"))
 
 
 def shares(near: DataFrame, sites: DataFrame, cls: Column, ignore: list[str] = (), rest: str | None = None, decimals: int = 1) -> DataFrame:
-    """(grp, cls, area, percent): area per class inside a site in percent of the site; rest names what no class covers (if it is over 1)."""
+    """(grp, cls, area, percent) of layers: area per class inside a site in percent of the site; rest names what no class covers (if it is over 1)."""
     hull = hulls(sites).select("grp", c("area").alias("site_area"))
-    per = near.where(c("dist") == 0).groupBy("grp", cls.alias("cls")).agg(F.sum("area").alias("area"))
+    per = near.where("n_in > 0").groupBy("grp", cls.alias("cls")).agg(F.sum("area").alias("area"))
     per = per.where(~c("cls").isin(list(ignore))) if ignore else per
     if rest:
         left = hull.join(per.groupBy("grp").agg(F.sum("area").alias("used")), "grp", "left").select("grp", F.lit(rest).alias("cls"), (c("site_area") - F.coalesce("used", F.lit(0.0))).alias("area"))
@@ -69,7 +73,7 @@ def geology_unit() -> Column:
 
 def districts(near: DataFrame) -> DataFrame:
     """The names of the districts that a site touches."""
-    return near.where(c("dist") == 0).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("fclass")), ",").alias("districts"))
+    return near.where("n_in > 0").groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("fclass")), ",").alias("districts"))
 
 
 def shape(sites: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ DEFAULTS = {"roads_length": 0.0, "roads_inside": False, "roads_refs": "", "railw
 def classified(sites: DataFrame, features: DataFrame, pixels: DataFrame, margin: float = 50.0) -> DataFrame:
     """One row per site: hull, roads, railways, buildings, water, land use, geology, susceptibility, districts, shape and volumes, with defaults
     for what is missing. The features meet the sites once for all layers."""
-    near = materialize(inside(features.select("fclass", "ref", "x", "y", "len", "area"), sites, margin=margin).select("grp", "fclass", "ref", "len", "area", "dist"), "near")
+    near = materialize(layers(features, sites, margin), "near")
     parts = [
         network(near, "roads", ["A"]),
         network(near, "railways", ["R"]),

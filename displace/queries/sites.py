@@ -18,7 +18,7 @@ _IN = f"WITH {_NEAR}, ins AS (SELECT * FROM near WHERE dist = 0), nb AS (SELECT
 
 
 def _near(s: DataFrame, f: DataFrame) -> DataFrame:
-    return ops.inside(f, _boxes(s), margin=50.0)
+    return ops.layers(f, _boxes(s))
 
 
 @query("site_hull", "SELECT grp, round(4 * half * half, 1) AS area, round(8 * half, 1) AS outline FROM sites", "sites")
@@ -59,7 +59,7 @@ def site_susceptibility(s: DataFrame, f: DataFrame) -> DataFrame:
 
 @query("site_districts", f"{_IN} SELECT grp, string_agg(DISTINCT fclass, ',' ORDER BY fclass) AS names FROM ins GROUP BY grp", "sites", "features")
 def site_districts(s: DataFrame, f: DataFrame) -> DataFrame:
-    return ops.districts(ops.inside(f, _boxes(s))).withColumnRenamed("districts", "names")
+    return ops.districts(ops.layers(f, _boxes(s), 0.0)).withColumnRenamed("districts", "names")
 
 
 @query("site_terrain", _TERRAIN_ZONE + ", y AS (SELECT unnest([2014, 2019, 2021]) AS year) SELECT year, grp, " + _TERRAIN_COLS.replace("least(sqrt(sa*sa + ca*ca), 1)))), 4)", "least(sqrt(sa*sa + ca*ca), 1)))), 3) + 0.0") + " FROM q, y", "raster", "sites")
