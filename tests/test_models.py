@@ -207,3 +207,22 @@ def test_distances_by_edges_on_rings_that_are_no_squares(spark):
             t = max(0.0, min(1.0, ((r.x - ax) * (bx - ax) + (r.y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
             best = min(best, m.hypot(ax + t * (bx - ax) - r.x, ay + t * (by - ay) - r.y))
         assert abs(r.d - (0.0 if odd else best)) < 1e-8
+
+
+def test_knn_looks_at_few_sources_however_many_there_are(spark):
+    from displace.operators import joins
+
+    sources = spark.range(20000).select(F.col("id").alias("sid"), (F.col("id") * 7919 % 997 / 10).alias("sx"), (F.col("id") * 104729 % 991 / 10).alias("sy"))
+    same = spark.range(5000).select((F.col("id") + 10**6).alias("sid"), F.lit(50.05).alias("sx"), F.lit(50.05).alias("sy"))
+    every = sources.union(same)
+    points = spark.createDataFrame([(1, 50.0, 50.0), (2, 3.33, 97.1), (3, 500.0, -20.0)], "id int, x double, y double")
+    wide = every.select(F.col("sx").alias("_sx"), F.col("sy").alias("_sy")).distinct()
+    assert joins._knn_width(wide, 64.0, 32)[1] >= 3
+    got = sorted((r.id, r.rank, r.sid) for r in joins.knn(points, every, 3, 64.0, "id").collect())
+    table = every.toPandas()
+    want = []
+    for i, x, y in [(1, 50.0, 50.0), (2, 3.33, 97.1), (3, 500.0, -20.0)]:
+        d = ((table["sx"] - x) ** 2 + (table["sy"] - y) ** 2) ** 0.5
+        near = sorted(zip(d, table["sid"], strict=True))[:3]
+        want += [(i, k + 1, sid) for k, (_, sid) in enumerate(near)]
+    assert got == want
