@@ -11,6 +11,7 @@ from displace.functions.mathfn import superpose
 from displace.functions.timefn import peak_date
 from displace.operators import joins, series as ops
 from displace.queries.joins import _boxes
+from displace.operators.regions import radius_median, radius_sums
 from displace.registry import query
 
 c = F.col
@@ -126,22 +127,27 @@ def site_seasonality(s: DataFrame, p: DataFrame) -> DataFrame:
 def event_series(s: DataFrame, p: DataFrame, o: DataFrame) -> DataFrame:
     k = c("o_orderkey")
     quakes = o.where("o_totalprice > 490000").select(k.alias("id"), ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy"))
-    near = joins.radius_join(p.select("ps_id", "x", "y"), quakes, 1000.0).select("id", "ps_id")
-    return _coefficients(ops.invert(_weeks(s).join(near, "ps_id"), ["id"], "w", "value", **_FLAT).where("n >= 2"), ["id"], 2)
+    return _near_events(s, p, quakes)
 
 
-@query("event_series_all", None, "psi_series", "psi_points", "catalogue")
-def event_series_all(s: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
-    """event_series of every event of the reference's magnitude cut. A point's sums are made once and added up for the events near it."""
+def _near_events(s: DataFrame, p: DataFrame, quakes: DataFrame) -> DataFrame:
+    """Fits of all series near each event. A point's sums are made once and added up for the events near it, without a row per point and event."""
     design = ops.terms(c("w"), **_FLAT)
     own = ops.normal_sums(_weeks(s), ["ps_id"], design, "value").join(p.select("ps_id", "x", "y"), "ps_id")
-    k = c("id")
-    quakes = e.where("magnitude >= 2.5").select("id", ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy"))
-    near = joins.radius_join(own, quakes, 1000.0, salt=4).select("id", "n", "sums")
-    fits = ops.solve(ops.merge_sums(near, ["id"], len(design)), ["id"], len(design))
+    k = len(design) * (len(design) + 1) // 2 + len(design)
+    parts = [f"_s{i}" for i in range(k)]
+    near = radius_sums(own.select("x", "y", "n", *[c("sums")[i].alias(n) for i, n in enumerate(parts)]), quakes, "id", ["n", *parts], 1000.0, 500.0)
+    fits = ops.solve(ops.merge_sums(near.select("id", c("n").cast("long").alias("n"), F.array(*parts).alias("sums")), ["id"], len(design)), ["id"], len(design))
     return _coefficients(fits.where("n >= 2"), ["id"], 2)
 
 
+@query("event_series_all", None, "psi_series", "psi_points", "catalogue")
+def event_series_all(s: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
+    """event_series of every event of the reference's magnitude cut."""
+    k = c("id")
+    return _near_events(s, p, e.where("magnitude >= 2.5").select("id", ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy")))
+
+
 @query("stacked_fit", f"SELECT direction, count(*) AS n, round(regr_intercept(value, w), 4) AS m0, round(regr_slope(value, w), 4) AS m1 FROM (SELECT direction, value, {_WEEKS} AS w FROM psi_series) GROUP BY direction", "psi_series")
 def stacked_fit(s: DataFrame) -> DataFrame:
     return _coefficients(ops.invert(_weeks(s), ["direction"], "w", "value", **_FLAT), ["direction"], 2)
@@ -246,22 +252,20 @@ def wavelet_power_full(s: DataFrame) -> DataFrame:
     "psi_series",
 )
 def well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
-    return _well_correlation(sites, p, s, salt=4)
+    return _well_correlation(sites, p, s)
 
 
 @query("well_correlation_all", None, "sites", "psi_points", "psi_series")
 def well_correlation_all(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
     """well_correlation, held against brute force instead of SQL."""
-    return _well_correlation(sites, p, s, salt=4)
+    return _well_correlation(sites, p, s)
 
 
-def _well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame, salt: int = 1) -> DataFrame:
+def _well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame:
     wells = sites.select("grp", "cx", "cy")
-    view = s.where("direction = 'view'")
-    seen = p.select("ps_id", "x", "y").join(view.select("ps_id"), "ps_id", "left_semi")
-    near = joins.radius_join(seen, wells, 2000.0, salt=salt).select("grp", "ps_id")
     day = F.to_date("ts").alias("d")
-    psi = view.join(near, "ps_id").groupBy("grp", day).agg(F.median("value").alias("v"))
+    view = s.where("direction = 'view'").select("ps_id", day, c("value").alias("v")).join(p.select("ps_id", "x", "y"), "ps_id")
+    psi = radius_median(view, wells, "grp", "d", "v", 2000.0, 1000.0)
     level = s.where("direction = 'click'").groupBy(day).agg(F.avg("value").alias("w"))
     got = ops.spearman(psi.join(level, "d"), ["grp"], "v", "w").where("n > 5")
     return got.select("grp", "n", r4(c("pearson"), "pearson"), r4(c("spearman"), "spearman"))
