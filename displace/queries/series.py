@@ -288,4 +288,6 @@ def gnss_correlation(s: DataFrame) -> DataFrame:
     a = s.where("direction = 'click'").groupBy("ps_id", day).agg(F.avg("value").alias("v"))
     b = s.where("direction = 'view'").groupBy(day).agg(F.avg("value").alias("w"))
     g = a.join(b, "d").groupBy("ps_id").agg(F.count("*").alias("n"), F.corr("v", "w").alias("r"), F.median("v").alias("mv"), (2 * F.stddev_pop("v")).alias("sv")).where("n > 2")
-    return g.select("ps_id", "n", r4(c("r"), "r"), r4(c("mv"), "median"), r4(c("sv"), "spread"), p_class(t_statistic(c("r"), c("n")), c("n")).alias("p"))
+    # rounded as the SQL does, the scaled number to a whole one: 38.94125 is a tie in decimals, but not once scaled
+    half = lambda e, n: (F.round(e * 10000, 0) / 10000).alias(n)
+    return g.select("ps_id", "n", half(c("r"), "r"), half(c("mv"), "median"), half(c("sv"), "spread"), p_class(t_statistic(c("r"), c("n")), c("n")).alias("p"))
