@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from displace.operators.graph import connected_components
-from displace.operators.joins import boxes_meet, cell, radius_join
+from displace.operators.joins import cell, cover_cells, radius_join
 from displace.session import materialize
 
 c = F.col
@@ -41,19 +43,45 @@ def merge_points(df: DataFrame, key: str, x: str, y: str, dist: float) -> DataFr
     return df.join(g, key).groupBy("grp").agg(F.avg(x).alias("x"), F.avg(y).alias("y"), F.count("*").alias("n"))
 
 
+def box_stars(boxes: DataFrame, key: str, by: list[str], size: float) -> DataFrame:
+    """Links (src, dst) that join what overlapping boxes of equal `by` join: in each cell, the components of the boxes that touch it, each as a star around its
+    smallest key. Two boxes that overlap do so in a cell that both touch, so there is at most one link a box and cell, not one a pair."""
+    kind = dict(boxes.dtypes)[key]
+    at = ["_i", "_j", *by]
+    cells = boxes.select(key, *by, "minx", "miny", "maxx", "maxy", F.explode(cover_cells(c("minx"), c("miny"), c("maxx"), c("maxy"), size)).alias("_c")).withColumns({"_i": c("_c.i"), "_j": c("_c.j")}).drop("_c")
+
+    def stars(own: pa.Table) -> pa.Table:
+        own = own.sort_by(key)
+        x0, y0, x1, y1 = (own[k].to_numpy() for k in ("minx", "miny", "maxx", "maxy"))
+        left, src, dst = np.arange(len(own)), [], []
+        while len(left):
+            hub, todo, left = left[0], [left[0]], left[1:]
+            while todo and len(left):
+                k = todo.pop()
+                met = (x0[left] <= x1[k]) & (x0[k] <= x1[left]) & (y0[left] <= y1[k]) & (y0[k] <= y1[left])
+                todo.extend(left[met])
+                src.extend(left[met])
+                dst.extend([hub] * int(met.sum()))
+                left = left[~met]
+        return pa.table({"src": own[key].take(pa.array(src, pa.int64())), "dst": own[key].take(pa.array(dst, pa.int64()))})
+
+    return cells.groupBy(*at).applyInArrow(stars, f"src {kind}, dst {kind}").where("src <> dst").distinct()
+
+
 def merge_levels(boxes: DataFrame, grp: str, level: str, key: str, size: float, gap: float = 0.1) -> DataFrame:
     """Inside a group and level, overlapping boxes (grown by `gap`) become one: (key, merged, grp, level, n, area); the area of the union is counted
-    on cells of side `size`, so it is exact to the cells an outline crosses."""
-    grown = boxes.withColumns({"minx": c("minx") - gap, "miny": c("miny") - gap, "maxx": c("maxx") + gap, "maxy": c("maxy") + gap})
-    other = grown.select(c(key).alias("_okey"), c(grp).alias("_ogrp"), c(level).alias("_olevel"), *[c(k).alias(f"b{k}") for k in ("minx", "miny", "maxx", "maxy")])
-    met = boxes_meet(grown, other, 1000.0).where((c(grp) == c("_ogrp")) & (c(level) == c("_olevel")) & (c(key) < c("_okey")))
-    comp = connected_components(met.select(c(key).alias("src"), c("_okey").alias("dst")))
+    on cells of side `size`, so it is exact to the cells an outline crosses. A column's cells are counted by the ends of its boxes."""
+    grown = boxes.withColumns({"minx": c("minx") - gap, "miny": c("miny") - gap, "maxx": c("maxx") + gap, "maxy": c("maxy") + gap}).where(f"{grp} is not null and {level} is not null")
+    comp = connected_components(box_stars(grown, key, [grp, level], 1000.0))
     named = boxes.join(comp.withColumnRenamed("node", key), key, "left").withColumn("merged", F.coalesce("component", key))
     count = named.groupBy("merged", grp, level).agg(F.count("*").alias("n"))
-    centre = lambda lo, hi: F.sequence(F.ceil(c(lo) / size - 0.5).cast("long"), (F.ceil(c(hi) / size - 0.5) - 1).cast("long"))
-    cells = named.select("merged", F.explode(centre("minx", "maxx")).alias("i"), "miny", "maxy").select("merged", "i", F.explode(centre("miny", "maxy")).alias("j")).distinct()
-    area = cells.groupBy("merged").agg((F.count("*") * size * size).alias("area"))
-    return count.join(area, "merged")
+    first, last = lambda k: F.ceil(c(k) / size - 0.5).cast("long"), lambda k: (F.ceil(c(k) / size - 0.5) - 1).cast("long")
+    spans = named.select("merged", first("minx").alias("i0"), last("maxx").alias("i1"), first("miny").alias("lo"), last("maxy").alias("hi")).where("i0 <= i1 and lo <= hi")
+    columns = spans.select("merged", F.explode(F.sequence("i0", "i1")).alias("i"), "lo", "hi").groupBy("merged", "i", "lo").agg(F.max("hi").alias("hi"))
+    before = F.max("hi").over(Window.partitionBy("merged", "i").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    new = columns.withColumn("new", F.greatest(c("hi") - F.greatest(F.coalesce(before, c("lo") - 1), c("lo") - 1), F.lit(0)))
+    area = new.groupBy("merged").agg((F.sum("new") * size * size).alias("area"))
+    return count.join(area, "merged", "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
 
 
 def adaptive_split(points: DataFrame, x: str, y: str, most: int, overlap: float = 0.0, rounds: int | None = None) -> DataFrame:
