@@ -100,5 +100,5 @@ def comparison_sink(s: DataFrame) -> DataFrame:
 def report_sink(s: DataFrame) -> DataFrame:
     path = fresh_path(s.sparkSession, "reports")
     sinks.write_reports(_boxes(s).select("grp", "cx", "cy", "half", "ring"), path, "grp")
-    pair = F.split("value", "=")
-    return s.sparkSession.read.text(path).select(c("grp").cast("long").alias("grp"), pair[0].alias("key"), pair[1].cast("double").alias("value"))
+    read = sinks.read_reports(s.sparkSession, path, "grp")
+    return read.select(c("grp").cast("long").alias("grp"), "key", c("value").cast("double").alias("value"))
