@@ -131,8 +131,24 @@ def hexbin(df: DataFrame, x: str, y: str, size: float, least: int, value: str |
     return own.groupBy("cx", "cy").agg(F.count("*").alias("n"), *([F.avg("v").alias("v")] if value else [])).where(c("n") >= least)
 
 
+def mean_in_order(df: DataFrame, by: list[str], order: list[str], v: str) -> DataFrame:
+    """(by, v): means per group, added up in the given order, so that their last bits do not depend on how rows lie in files and tasks. A group's rows are sorted
+    in one task and spilled if many."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    own = df.withColumns({"_v": F.avg(v).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_k": F.row_number().over(w)})
+    return own.where("_k = 1").select(*by, c("_v").alias(v))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r over the rows that have both; NaN where one of them does not vary, null without such rows."""
+    both = c(a).isNotNull() & c(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, c(a))) * F.stddev_pop(F.when(both, c(b)))
+    return F.when(F.count_if(both) > 0, F.coalesce(F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0)), F.lit(float("nan"))))
+
+
 def t_statistic(r: Column, n: Column) -> Column:
-    return r * F.sqrt((n - 2) / F.nullif(1 - r * r, F.lit(0.0)))
+    """Infinite where r is 1 or -1, also by rounding."""
+    return F.when(~F.isnan(r) & (F.abs(r) >= 1), r * F.lit(float("inf"))).otherwise(r * F.sqrt((n - 2) / (1 - r * r)))
 
 
 #: Levels of significance.
@@ -142,7 +158,7 @@ LEVELS = [(0.001, "p<0.001"), (0.01, "p<0.01"), (0.05, "p<0.05")]
 def p_value(t: Column, n: Column) -> Column:
     """Two-sided p of Student's t with n - 2 degrees of freedom, by the finite series for whole degrees; null for n below 3."""
     v = (n - 2).cast("double")
-    cos2, sine = v / (v + t * t), F.abs(t) / F.sqrt(v + t * t)
+    cos2, sine = v / (v + t * t), F.when(F.abs(t) == float("inf"), 1.0).otherwise(F.abs(t) / F.sqrt(v + t * t))
     odd = v % 2 == 1
     last = F.greatest(F.floor((v - F.when(odd, 3).otherwise(2)) / 2), F.lit(0)).cast("int")
     # the terms after the first: each is the one before times cos2 times a ratio

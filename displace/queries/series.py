@@ -282,12 +282,13 @@ def _well_correlation(sites: DataFrame, p: DataFrame, s: DataFrame) -> DataFrame
     "psi_series",
 )
 def gnss_correlation(s: DataFrame) -> DataFrame:
-    from displace.operators.aggregates import p_class, t_statistic
+    from displace.operators.aggregates import correlation, mean_in_order, p_class, t_statistic
 
     day = F.to_date("ts").alias("d")
-    a = s.where("direction = 'click'").groupBy("ps_id", day).agg(F.avg("value").alias("v"))
+    # a median of means of four or eight values may be a tie in its fifth decimal: the last bit of the sum decides, so the order in which values are added does
+    a = mean_in_order(s.where("direction = 'click'").select("ps_id", day, "ts", c("value").alias("v")), ["ps_id", "d"], ["ts", "v"], "v")
     b = s.where("direction = 'view'").groupBy(day).agg(F.avg("value").alias("w"))
-    g = a.join(b, "d").groupBy("ps_id").agg(F.count("*").alias("n"), F.corr("v", "w").alias("r"), F.median("v").alias("mv"), (2 * F.stddev_pop("v")).alias("sv")).where("n > 2")
+    g = a.join(b, "d").groupBy("ps_id").agg(F.count("*").alias("n"), correlation("v", "w").alias("r"), F.median("v").alias("mv"), (2 * F.stddev_pop("v")).alias("sv")).where("n > 2")
     # rounded as the SQL does, the scaled number to a whole one: 38.94125 is a tie in decimals, but not once scaled
     half = lambda e, n: (F.round(e * 10000, 0) / 10000).alias(n)
     return g.select("ps_id", "n", half(c("r"), "r"), half(c("mv"), "median"), half(c("sv"), "spread"), p_class(t_statistic(c("r"), c("n")), c("n")).alias("p"))
