@@ -117,7 +117,7 @@ def site_seasonality(s: DataFrame, p: DataFrame) -> DataFrame:
 
 @query(
     "event_series",
-    f"""WITH q AS (SELECT o_orderkey AS id, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) AS cx, CAST((o_orderkey * 104729) % 10009 AS DOUBLE) AS cy FROM orders WHERE o_totalprice > 490000),
+    f"""WITH q AS (SELECT o_orderkey AS id, CAST((o_orderkey * 7919) % 10007 AS DOUBLE) AS cx, CAST((o_orderkey * 104729) % 10009 AS DOUBLE) AS cy FROM orders),
         n AS (SELECT id, ps_id FROM q JOIN psi_points ON (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 1000000)
         SELECT id, count(*) AS n, round(regr_intercept(value, w), 4) AS m0, round(regr_slope(value, w), 4) AS m1 FROM (SELECT id, value, {_WEEKS} AS w FROM n JOIN psi_series USING (ps_id)) GROUP BY id HAVING count(*) >= 2""",
     "psi_series",
@@ -126,7 +126,7 @@ def site_seasonality(s: DataFrame, p: DataFrame) -> DataFrame:
 )
 def event_series(s: DataFrame, p: DataFrame, o: DataFrame) -> DataFrame:
     k = c("o_orderkey")
-    quakes = o.where("o_totalprice > 490000").select(k.alias("id"), ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy"))
+    quakes = o.select(k.alias("id"), ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy"))
     return _near_events(s, p, quakes)
 
 
@@ -143,7 +143,7 @@ def _near_events(s: DataFrame, p: DataFrame, quakes: DataFrame) -> DataFrame:
 
 @query("event_series_all", None, "psi_series", "psi_points", "catalogue")
 def event_series_all(s: DataFrame, p: DataFrame, e: DataFrame) -> DataFrame:
-    """event_series of every event of the reference's magnitude cut."""
+    """event_series of the events that the reference prepares, from magnitude 2.5."""
     k = c("id")
     return _near_events(s, p, e.where("magnitude >= 2.5").select("id", ((k * 7919) % 10007).cast("double").alias("cx"), ((k * 104729) % 10009).cast("double").alias("cy")))
 
