@@ -63,18 +63,17 @@ def solve(sums: DataFrame, by: list[str], p: int) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            coeffs, full = [], []
-            for s in pdf["sums"]:
-                s = np.asarray(s, float)
-                m = np.zeros((p, p))
-                m[low] = s[: len(low[0])]
-                m = m + m.T - np.diag(np.diag(m))
-                scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
-                m, r = m / np.outer(scale, scale), s[len(low[0]) :] / scale
-                ok = np.linalg.matrix_rank(m, tol=1e-10) == p
-                x = np.linalg.solve(m, r) if ok else np.linalg.lstsq(m, r, rcond=1e-10)[0]
-                coeffs.append((x / scale).tolist())
-                full.append(bool(ok))
+            s = np.array([*pdf["sums"]], float).reshape(len(pdf), -1)
+            m = np.zeros((len(s), p, p))
+            m[:, low[0], low[1]] = m[:, low[1], low[0]] = s[:, : len(low[0])]
+            scale = np.sqrt(np.maximum(np.diagonal(m, axis1=1, axis2=2), 1e-300))
+            m, r = m / (scale[:, :, None] * scale[:, None, :]), s[:, len(low[0]) :] / scale
+            full = np.linalg.matrix_rank(m, tol=1e-10) == p if len(s) else np.zeros(0, bool)
+            x = np.zeros((len(s), p))
+            x[full] = np.linalg.solve(m[full], r[full][:, :, None])[:, :, 0]
+            for i in np.flatnonzero(~full):
+                x[i] = np.linalg.lstsq(m[i], r[i], rcond=1e-10)[0]
+            coeffs = [*(x / scale)]
             yield pd.DataFrame({**{k: pdf[k] for k in by}, "n": pdf["n"], "coeffs": coeffs, "full_rank": full})
 
     kinds = dict(sums.dtypes)
